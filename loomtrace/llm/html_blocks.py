@@ -164,7 +164,7 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[list[tuple[str, int, flo
         if rng.random() < 0.5:
             page.append(row(words(2, 6), rng.choice((0.0, 0.5, 1.0)), 0))
         if rng.random() < 0.9:
-            page.append(row("© " + words(2, 12), rng.choice((0.0, 0.0, 0.3, 0.8)), 0))
+            page.append(row("© " + words(2, rng.choice((12, 30))), rng.choice((0.0, 0.0, 0.3, 0.8)), 0))
         pages.append(page)
     return pages
 

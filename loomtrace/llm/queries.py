@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_dir, table
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "label")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii_crf
+
+    return pii_crf.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,18 +27,37 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), with_epoch=True).select("doc_id", "lang", "source", "epoch")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_cache
+
+    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    return token_cache.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), cache).select("doc_id", "n_tokens")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact_dedup
 
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
     return simhash.simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_blocks
+
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_mil
 
@@ -39,6 +72,47 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_exact_dedup, op7_simhash_dedup, op9_quality, op10_packing)}
 
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_embedding_dedup, op2_pii, op3_mixing, op4_token_counts, op5_exact_dedup, op6_line_dedup, op7_simhash_dedup, op8_html_text, op9_quality, op10_packing)
+}
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """
+WITH RECURSIVE near AS (
+    SELECT a.vec_id AS p, b.vec_id AS q FROM embeddings a JOIN embeddings b
+    ON list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95
+), reach AS (
+    SELECT vec_id AS p, vec_id AS q FROM embeddings
+    UNION
+    SELECT r.p, n.q FROM reach r JOIN near n ON r.q = n.p
+)
+SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT p FROM reach GROUP BY p HAVING min(q) = p)
+""",
+    "op5_exact_dedup": """
+SELECT doc_id, lang, source FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1
+""",
+    "op6_line_dedup": """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents
+), real AS (
+    SELECT doc_id, no, trim(line, ' ' || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k
+    FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), wins AS (
+    SELECT doc_id, k, t AS t1, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM real WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), again AS (
+    SELECT doc_id, k FROM wins WHERE t3 IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY t1, t2, t3 ORDER BY doc_id, k) > 1
+), gone AS (
+    SELECT DISTINCT r.doc_id, r.no FROM real r JOIN again a ON r.doc_id = a.doc_id AND r.k BETWEEN a.k AND a.k + 2
+), kept AS (
+    SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id
+), n AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.text, '') AS text, coalesce(n.n, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+""",
+}
