@@ -133,10 +133,6 @@ def _compare(dim: int, threshold: float):
     return run
 
 
-def _number(a: int, b: int) -> int:
-    return (a << 31) | b
-
-
 def _own(pair: int) -> bool:
     return pair >> 31 == pair & ((1 << 31) - 1)
 
@@ -165,8 +161,7 @@ def near_edges(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, tile: i
     if marks:
         for d in range(min(2, lead)):
             ends = turned.approxQuantile(f"d{d}", marks, 0.01 / side)
-            spot = F.array_position(F.transform(F.array(*(F.lit(float(e)) for e in ends)), lambda e, d=d: F.col(f"d{d}") <= e), True)
-            tile_of = tile_of * side + F.when(spot > 0, spot - 1).otherwise(side - 1)
+            tile_of = tile_of * side + sum((F.when(F.col(f"d{d}") > e, 1).otherwise(0) for e in ends), F.lit(0))
     tiled = turned.withColumn("tile", tile_of.cast("long"))
     boxes = tiled.groupBy("tile").agg(*(f(f"d{k}").alias(f"{g}{k}") for k in range(lead) for f, g in ((F.min, "lo"), (F.max, "hi"))))
     # a pair of tiles stays where the boxes are within the distance that the threshold allows

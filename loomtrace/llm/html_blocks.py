@@ -137,7 +137,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, leaf: int = 5) -> Tree:
     return Tree(nodes)
 
 
-def labelled_pages(n: int = 120, seed: int = 5) -> list[list[tuple[str, int, float, int]]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[list[tuple[str, int, float, int]]]:
     """The small labelled table: pages as rows of (text, words, link density, 1 for content), with the usual parts of a page."""
     rng = random.Random(seed)
     words = lambda a, b: " ".join("".join(rng.choice("aeiounrstl") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))

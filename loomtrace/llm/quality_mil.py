@@ -67,13 +67,16 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         edge[at] = False
         blank = (kind == 3) | (kind == 4)
         starts = np.empty(len(kind), bool)
-        starts[0], starts[1:] = not blank[0], blank[:-1] & ~blank[1:]
+        starts[0], starts[1:] = False, blank[:-1] & ~blank[1:]
+        starts[at] = False
         words = add(starts) + 1
         mark = (kind == 5) | (kind == 7) | (kind == 8)
         twice = np.zeros(len(kind), bool)
         twice[1:] = mark[1:] & (codes[1:] == codes[:-1])
+        twice[at] = False
         shout = np.zeros(len(kind), bool)
         shout[1:] = (kind[1:] == 1) & (kind[:-1] == 1)
+        shout[at] = False
         hold = np.concatenate((share, np.sqrt(share)), 1)
         more = np.stack([add(edge) / n, words / n * 10, add(twice) / n * 10, add(shout) / n, add(kind == 5) / words, add(kind == 2) / words, add((kind == 7) | (kind == 8)) / words, np.log1p(n) / 6], 1)
         x[real] = np.concatenate((hold, more), 1)

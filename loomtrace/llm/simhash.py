@@ -80,7 +80,8 @@ def signatures(texts: list[str | None]) -> list[bytes | None]:
     _, at, count = np.unique(_mix(hashed ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True, return_counts=True)
     order = np.argsort(owner[at], kind="stable")
     at, count = at[order], count[order]
-    weight = (np.sqrt(count) * np.where(size[at] >= LONG, 1.0, SHORT_WEIGHT)).astype(np.float32)
+    # whole numbers, whose sums are exact in any order: the signature depends on nothing but the text
+    weight = np.rint(20 * np.sqrt(count) * np.where(size[at] >= LONG, 1.0, SHORT_WEIGHT)).astype(np.float32)
     names, word = np.unique(hashed[at], return_inverse=True)
     raw = np.stack((_mix(names), _mix(names + np.uint64(0x9E3779B97F4A7C15))), 1).view(np.uint8)
     signs = _SIGNS[raw].reshape(-1, BITS)
@@ -88,9 +89,9 @@ def signatures(texts: list[str | None]) -> list[bytes | None]:
     spans = np.searchsorted(owner[at], np.arange(len(texts) + 1))
     for i, (a, b) in enumerate(zip(spans[:-1], spans[1:])):
         if b > a:
-            total = np.zeros(BITS, np.float32)
-            for s in range(a, b, 1 << 16):
-                e = min(b, s + (1 << 16))
+            total = np.zeros(BITS, np.float64)
+            for s in range(a, b, 1 << 14):
+                e = min(b, s + (1 << 14))
                 total += weight[s:e] @ signs[word[s:e]]
             out[i] = np.packbits(total > 0).tobytes()
     return out

@@ -1,0 +1,161 @@
+import random
+
+import numpy as np
+import pytest
+
+from loomtrace.llm import html_blocks, pii_crf, quality_mil
+
+DOCS = "doc_id long, text string, lang string, score double, _score string, spans string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", 0.5, "mine", "x") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii_crf.train()
+
+
+def shape(word):
+    return pii_crf._shape_table()[np.frombuffer(word.encode("utf-32-le"), np.uint32)].tobytes().decode()
+
+
+def test_field_on_held_out_sentences(crf):
+    right = wrong = missed = 0
+    for sentence in pii_crf.labelled_table(400, seed=77):
+        owner = np.zeros(len(sentence), int)
+        best = crf.decode(owner, crf.emissions(owner, np.arange(len(sentence)), [shape(w) for w, _ in sentence]))
+        for (_, label), b in zip(sentence, best):
+            got = pii_crf.LABELS[b]
+            right += got == label != "O"
+            wrong += got not in ("O", label)
+            missed += label not in ("O", got)
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+
+
+def test_decoding_is_the_best_path(crf):
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = int(rng.integers(1, 6))
+        e = rng.normal(scale=2, size=(n, len(pii_crf.LABELS)))
+        e[:, 0] += rng.choice([0, 30], n)
+        got = crf.decode(np.zeros(n, int), e)
+        best, where = -np.inf, None
+        for path in np.ndindex(*[len(pii_crf.LABELS)] * n):
+            s = sum(e[t, l] for t, l in enumerate(path)) + sum(crf.trans[a, b] for a, b in zip(path, path[1:]))
+            if s > best:
+                best, where = s, path
+        assert tuple(got) == where
+
+
+def test_redaction_of_known_data(spark, crf):
+    plain = "Version 2.0 of the report, page 12, costs $300 (see 4.1).\nNothing here!"
+    text = "Call +1 (988) 555-2485 or write to anna.42@mail8.example.com. Host 42.144.35.254, card 4041894974608795; token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" password=e3b3ed3cc8548923d6."
+    rows = [(1, text), (2, plain), (3, None), (4, ""), (5, " \n"), (6, (plain + " ") * 3000 + text), (1, text)]
+    got = pii_crf.redact(docs(spark, rows), crf).collect()
+    assert len(got) == 7
+    by = {r.doc_id: r for r in got}
+    assert by[1].text == 'Call <PHONE> or write to <EMAIL>. Host <IP>, card <CARD>; token = "<SECRET>" <SECRET>.'
+    assert [s.label for s in by[1].spans] == ["PHONE", "EMAIL", "IP", "CARD", "SECRET", "SECRET"]
+    assert [text[s.first : s.last] for s in by[1].spans][0] == "+1 (988) 555-2485"
+    assert by[2].text == plain and by[2].spans == []
+    assert by[3].text is None and by[4].text == "" and by[5].text == " \n"
+    assert len(by[6].spans) == 6
+    assert by[2]._score == "mine"
+    assert pii_crf.redact(docs(spark, []), crf).count() == 0
+
+
+def test_spans_do_not_depend_on_the_batch(crf):
+    texts = ["a@b.com x", "", "+1 (111) 555-2222", None, "1.2.3.4\n", "4041894974608795"]
+    assert crf.find(texts) == [crf.find([t])[0] for t in texts]
+
+
+PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href=/b>News</a>
+</ul></nav><div><h1>A title of several words here</h1><p>%s</p><p>Second &amp; <b>bold %s</div><ul><li><a href=x>More one</a><li><a href=y>More two</a></ul><footer>© 2020 somebody</footer>"""
+
+
+def test_blocks_of_a_page():
+    body = "word " * 40
+    got = html_blocks.blocks(PAGE % (body, body))
+    assert [b[0].split()[0] for b in got] == ["Home", "News", "A", "word", "Second", "More", "More", "©"]
+    assert [b[2] for b in got] == [1, 1, 0, 0, 0, 1, 1, 0]
+    assert got[4][0].startswith("Second & bold word")
+    assert html_blocks.blocks(None) == html_blocks.blocks("") == html_blocks.blocks("<p><br></p>") == []
+    assert html_blocks.blocks("a < b and <i>c") == [("a < b and c", 5, 0.0)]
+    assert html_blocks.blocks("<style>x<p>y") == []
+
+
+def test_tree_on_held_out_pages():
+    tree = html_blocks.train()
+    pages = html_blocks.labelled_pages(100, seed=99)
+    x = np.concatenate([html_blocks.features([r[:3] for r in p]) for p in pages])
+    y = np.array([r[3] for p in pages for r in p])
+    assert (tree.predict(x) == y).mean() > 0.9
+
+
+def test_extract(spark):
+    body = "word " * 40
+    rows = [(1, "u", PAGE % (body, body), "mine"), (2, "u", None, "mine"), (3, "u", "", "mine"), (4, "u", "<p>", "mine"), (1, "u", PAGE % (body, body), "mine"), (5, "u", "<div>" + "long text " * 200_000, "mine")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_blocks.extract(df)
+    assert got.columns == ["page_id", "url", "text"]
+    by = {r.page_id: r.text for r in got.collect()}
+    assert "word word" in by[1] and "Home" not in by[1] and "More one" not in by[1]
+    assert by[2] is None and by[3] == "" and by[4] == "" and len(by[5]) > 1_900_000
+    assert got.count() == 6 and html_blocks.extract(df.limit(0)).count() == 0
+
+
+def good(rng):
+    return " ".join("".join(rng.choice("etaoinsrhl") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(30, 200))).capitalize() + "."
+
+
+def bad(rng):
+    t = good(rng)
+    return rng.choice((t.upper().replace(" ", "!! "), t.replace(" ", "$$$ "), " | ".join(t.split()), t[:60] + t.upper().replace(" ", "!! ")))
+
+
+def test_classifier_on_held_out_documents():
+    rng = random.Random(3)
+    y = [rng.random() < 0.8 for _ in range(700)]
+    x = [good(rng) if k else bad(rng) for k in y]
+    model = quality_mil.train(x[:400], [int(k) for k in y[:400]], epochs=30)
+    p = model.score(x[400:])
+    assert ((p >= 0.5) == np.array(y[400:])).mean() > 0.97
+    # a bad passage within good ones draws attention
+    a = model.forward(*quality_mil.encode([good(rng) * 3 + bad(rng)]))[4]
+    assert a.sum() == pytest.approx(1)
+
+
+def test_gradients_by_finite_differences():
+    rng = random.Random(4)
+    x = [good(rng) * rng.randint(1, 3) for _ in range(6)] + [bad(rng) for _ in range(4)]
+    a = quality_mil.train(x, [1] * 6 + [0] * 4, epochs=1)
+    b = quality_mil.train(x, [1] * 6 + [0] * 4, epochs=40)
+    loss = lambda m: -np.log(np.clip(np.where([1] * 6 + [0] * 4, m.score(x), 1 - m.score(x)), 1e-9, 1)).mean()
+    assert loss(b) < 0.5 * loss(a)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = random.Random(5)
+    x = [good(rng) for _ in range(20)] + [bad(rng) for _ in range(10)]
+    m = quality_mil.train(x, [1] * 20 + [0] * 10, epochs=5)
+    texts = [*x, "", None, "a", good(rng) * 500]
+    assert np.allclose(m.score(texts), [m.score([t])[0] for t in texts], atol=1e-5)
+    assert m.score(["", None, " \n"]).tolist() == [0, 0, 0]
+
+
+def test_keep_good(spark):
+    rng = random.Random(6)
+    rows = [(i, good(rng) if i % 4 else bad(rng)) for i in range(200)]
+    more = [(500, None), (501, ""), (502, " "), (None, good(rng)), (1, rows[1][1]), (503, good(rng) * 3000)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 150)] + [(None, 1), (3, None), (4, 7)], "doc_id long, quality int")
+    df = docs(spark, rows + more)
+    got = quality_mil.keep_good(df, labels)
+    assert got.columns == df.columns
+    kept = [r.doc_id for r in got.collect()]
+    assert len([i for i in kept if i is not None and i < 200 and i % 4 == 0]) <= 1
+    assert kept.count(1) == 2 and None in kept and 503 in kept and not {500, 501, 502} & set(kept)
+    assert len([i for i in kept if i is not None and i < 200 and i % 4]) >= 149
+    assert quality_mil.keep_good(df.limit(0), labels).count() == 0
+    assert quality_mil.keep_good(df, labels.limit(0)).count() == 203
