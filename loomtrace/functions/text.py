@@ -124,7 +124,7 @@ def snippet(text: Column, words: list[str], context: int = 50) -> Column:
     last = F.least(F.length(text), best.at - 1 + best.n + context)
     cut = strip(F.replace(F.substr(text, first + 1, last - first), F.lit("\n"), F.lit(" ")))
     full = F.concat(F.when(first > 0, "…").otherwise(""), cut, F.when(last < F.length(text), "…").otherwise(""))
-    return F.coalesce(full, F.lit(""))
+    return F.coalesce(F.when(best.isNotNull(), full), F.lit(""))
 
 
 def iso_local(seconds: Column) -> Column:

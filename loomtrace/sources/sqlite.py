@@ -122,6 +122,7 @@ def table(spark: SparkSession, db: str, name: str, schema: str, partitions: int
             con.close()
     except sqlite3.Error:
         return spark.createDataFrame([], schema)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite").option("path", db).option("dbtable", name).option("numPartitions", str(partitions)).schema(schema).load()
 
