@@ -90,21 +90,22 @@ def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str
     key, starts, told = c.fresh(docs, "key", "starts", "told")
     again = repeated_windows(docs, run, text, doc_id).select(F.col("key").alias(key), F.col("starts").alias(starts))
     joined = docs.withColumn(key, row_key(docs, text, doc_id)).join(again, key, "left")
-    clean = joined.where(c.col(starts).isNull()).withColumn(told, F.lit(0).cast("long")).select(*c.cols(docs), told)
-    dirty = joined.where(c.col(starts).isNotNull())
-    schema = c.with_type(dirty, **{told: "long"})
+    schema = c.with_type(joined, **{told: "long"})
 
     def drop(batches):
         for part in c.slices(batches, text):
-            texts, cut = part.column(text).to_pylist(), part.column(starts).to_pylist()
-            new, n = [], []
-            for t, s in zip(texts, cut):
-                lines, real = lines_of(t)
-                gone = {real[w + i] for w in s for i in range(run)}
-                new.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-                n.append(len(gone))
-            kept = [pa.array(new, part.schema.field(f).type) if f == text else part.column(f) for f in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], names=[*part.schema.names, told])
-
-    out = clean.unionByName(dirty.mapInArrow(drop, schema).select(*c.cols(docs), told))
+            cut = part.column(starts)
+            new, n = part.column(text), pa.array(np.zeros(part.num_rows, np.int64))
+            if cut.null_count < part.num_rows:  # most slices hold nothing to delete and go on as they are
+                new, n = [], []
+                for t, s in zip(part.column(text).to_pylist(), cut.to_pylist()):
+                    lines, real = lines_of(t)
+                    gone = {real[w + i] for w in s or () for i in range(run)}
+                    new.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+                    n.append(len(gone))
+                new, n = pa.array(new, part.schema.field(text).type), pa.array(n, pa.int64())
+            kept = [new if f == text else part.column(f) for f in part.schema.names]
+            yield pa.RecordBatch.from_arrays([*kept, n], names=[*part.schema.names, told])
+
+    out = joined.mapInArrow(drop, schema)
     return out.select(*c.cols(docs, removed or ""), c.col(told).alias(removed)) if removed else out.select(*c.cols(docs))
