@@ -78,7 +78,49 @@ QUERIES = {
     for f in (op1_embedding_dedup, op2_pii, op3_mixing, op4_token_counts, op5_exact_dedup, op6_line_dedup, op7_simhash_dedup, op8_html_text, op9_quality, op10_packing)
 }
 
+def _mixing_sql() -> str:
+    """Water-filling level by level: among siblings in the order of capacity over weight, those are full whose capacity is within
+    the level that their own rest allows; the others share what is left by weight."""
+    from . import mixing
+
+    case = lambda column, table, other: "CASE " + column + "".join(f" WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {other!r} END" if table else repr(other)
+    domain = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(x) for x in m)}) THEN '{d}'" for d, m in mixing.DOMAINS.items()) + " ELSE 'reference' END"
+    parts = [
+        f"""d AS (SELECT doc_id, documents.lang AS own_lang, documents.source AS own_source, {domain} AS domain, coalesce(documents.lang, '(none)') AS lang,
+coalesce(documents.source, '(none)') AS source, len(regexp_extract_all(text, '\\S+'))::DOUBLE AS tok, md5(text) AS digest FROM documents)""",
+        "leaves AS (SELECT domain, lang, source, sum(tok) AS n FROM d GROUP BY ALL)",
+        "b0 AS (SELECT sum(n) AS budget FROM leaves)",
+    ]
+    above: list[str] = []
+    for i, level in enumerate(mixing.LEVELS, 1):
+        keys = [*above, level]
+        group = ", ".join(keys)
+        within = f"PARTITION BY {', '.join(above)}" if above else ""
+        join = " AND ".join(f"x.{k} = p.{k}" for k in above) or "true"
+        parts.append(f"x{i} AS (SELECT {group}, sum(n) * {mixing.MAX_EPOCHS} AS cap, {case(level, mixing.WEIGHTS[level], mixing.OTHER[level])} AS w FROM leaves GROUP BY {group})")
+        parts.append(
+            f"""y{i} AS (SELECT {', '.join('x.' + k for k in keys)}, x.cap, x.w, p.budget,
+(p.budget - coalesce(sum(x.cap) OVER ({within.replace('BY ', 'BY x.').replace(', ', ', x.')} ORDER BY x.cap / x.w, x.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+/ sum(x.w) OVER ({within.replace('BY ', 'BY x.').replace(', ', ', x.')} ORDER BY x.cap / x.w, x.{level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM x{i} x JOIN b{i - 1} p ON {join})"""
+        )
+        first = f"min(CASE WHEN cap > share * w THEN cap / w END) OVER ({within})"
+        parts.append(f"z{i} AS (SELECT *, {first} AS brim FROM y{i})")
+        # before the first that isn't full, all are; from it on, its level holds
+        level_at = f"arg_min(CASE WHEN cap > share * w THEN share END, CASE WHEN cap > share * w THEN cap / w END) OVER ({within})"
+        parts.append(f"b{i} AS (SELECT {group}, CASE WHEN brim IS NULL OR cap / w < brim THEN cap ELSE w * {level_at} END AS budget FROM z{i})")
+        above = keys
+    parts += [
+        "plan AS (SELECT l.*, floor(b.budget + 1e-6) AS budget FROM leaves l JOIN b3 b USING (domain, lang, source))",
+        "p2 AS (SELECT domain, lang, source, CASE WHEN n > 0 THEN floor(budget / n) ELSE 0 END AS whole, CASE WHEN n > 0 THEN budget - floor(budget / n) * n ELSE 0 END AS room FROM plan)",
+        f"""r AS (SELECT d.*, p2.whole::BIGINT AS whole, p2.room, sum(tok) OVER (PARTITION BY domain, lang, source
+ORDER BY md5('{mixing.SEED}:' || (p2.whole + 1)::BIGINT || ':' || doc_id || ':' || digest) ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN p2 USING (domain, lang, source))""",
+        "e AS (SELECT doc_id, own_lang AS lang, own_source AS source, whole + CASE WHEN room > 0 AND cum <= room THEN 1 ELSE 0 END AS epochs FROM r)",
+    ]
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, lang, source, unnest(generate_series(1, epochs)) AS epoch FROM e WHERE epochs > 0"
+
+
 ORACLES: dict[str, str] = {
+    "op3_mixing": _mixing_sql(),
     "op1_embedding_dedup": """
 WITH RECURSIVE near AS (
     SELECT a.vec_id AS p, b.vec_id AS q FROM embeddings a JOIN embeddings b
