@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analytics, edits, index, records, search, sessions
 from ..sources import config, files, sqlite
+from . import scratch
 
 _FILES = ("claude", "codex", "copilot", "agent_probe")
 
 
 class Lake:
-    """Lazy tables over the stores. ``scope`` keeps sessions that worked in a folder or below it."""
+    """Tables over the stores, read once when first asked for. ``scope`` keeps sessions that worked in a folder or below it."""
 
     def __init__(self, spark: SparkSession, home: str | None = None, scope: str | None = None, settings: dict | None = None):
         self.spark, self.home, self.scope = spark, os.path.expanduser(home or "~"), scope
         self.settings = config.load() if settings is None else settings
 
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once to the shared folder, so that every question reads it instead of the stores."""
+        where = scratch.folder(self.spark, name)
+        df.write.parquet(where)
+        return self.spark.read.parquet(where)
+
     def _found(self, name: str) -> DataFrame:
         if name == "claude" and self.scope:
             return files.project_files(self.spark, self.home, self.scope)
@@ -41,11 +48,19 @@ class Lake:
 
     @cached_property
     def _events(self) -> dict[str, DataFrame]:
-        return {k: sessions.events(self._lines(f), k) for k, f in self._files.items()}
+        """Decoded lines of the stores that have any files."""
+        return {k: sessions.events(self._lines(f), k) for k, f in self._files.items() if not f.isEmpty()}
 
     @cached_property
     def _extra_kinds(self) -> DataFrame:
-        return files.sniff(self._lines(self._extra))
+        return self._kept(files.sniff(self._lines(self._extra)), "kinds")
+
+    @cached_property
+    def _extra_formats(self) -> list[str]:
+        if self._extra.isEmpty():
+            return []
+        held = {r.fmt for r in self._extra_kinds.select("fmt").distinct().collect()}
+        return [k for k in _FILES if k in held]
 
     @cached_property
     def _extra_lines(self) -> DataFrame:
@@ -57,27 +72,25 @@ class Lake:
 
     @cached_property
     def records(self) -> DataFrame:
+        return self._kept(self._records(), "records")
+
+    def _records(self) -> DataFrame:
         parts = []
         for rank, k in enumerate(_FILES):
-            s = files.STORES[k]
-            parts.append(records.file_records(self._files[k], records.openings(self._events[k], k), s.agent, s.prefix, rank))
+            if k in self._events:
+                s = files.STORES[k]
+                parts.append((k, records.file_records(self._files[k], records.openings(self._events[k], k), s.agent, s.prefix, rank)))
         db = self._stores
-        scoped = [*parts[1:]] if self.scope else []
-        later = [
-            records.opencode(*db["opencode"].values(), rank=4),
-            records.codex_db(db["codex_db"]["threads"], self._files["codex"], 5),
-            records.hermes(*db["hermes"].values(), rank=6),
-        ]
+        parts += [("opencode", records.opencode(*db["opencode"].values(), rank=4)), ("codex_db", records.codex_db(db["codex_db"]["threads"], self._files["codex"], 5)), ("hermes", records.hermes(*db["hermes"].values(), rank=6))]
         if not self.scope:
-            later.append(records.copilot_db(db["copilot_db"]["sessions"], 7))
-        found = self._extra.join(self._extra_kinds, "path")
-        for fmt in _FILES:
+            parts.append(("copilot_db", records.copilot_db(db["copilot_db"]["sessions"], 7)))
+        for fmt in self._extra_formats:
+            found = self._extra.join(self._extra_kinds.where(F.col("fmt") == fmt), "path")
             ev = sessions.events(self._extra_lines.where(F.col("fmt") == fmt), fmt)
-            later.append(records.file_records(found.where(F.col("fmt") == fmt), records.openings(ev, fmt), fmt, fmt[:2], 8))
-        if not self.scope:
-            return records.union(parts + later).drop("cwd")
-        rest = records.union(scoped + later).where(text.within(F.col("cwd"), self.scope))
-        return parts[0].unionByName(rest).drop("cwd")
+            parts.append(("extra", records.file_records(found, records.openings(ev, fmt), fmt, fmt[:2], 8)))
+        if self.scope:  # the folder of a Claude project is chosen by its name already
+            parts = [(k, df if k == "claude" else df.where(text.within(F.col("cwd"), self.scope))) for k, df in parts]
+        return records.union([df for _, df in parts]).drop("cwd")
 
     def _all(self) -> list[tuple[DataFrame, DataFrame]]:
         out = []
@@ -85,7 +98,7 @@ class Lake:
         for k, ev in self._events.items():
             step = sessions.steps(ev, k, fall)
             out.append((step, sessions.trajectories(ev, step, k)))
-        for k in _FILES:
+        for k in self._extra_formats:
             ev = sessions.events(self._extra_lines.where(F.col("fmt") == k), k)
             step = sessions.steps(ev, k, fall)
             out.append((step, sessions.trajectories(ev, step, k)))
@@ -108,7 +121,7 @@ class Lake:
         for s, t in pairs[1:]:
             step, traj = step.unionByName(s), traj.unionByName(t, allowMissingColumns=True)
         mine = self.records.select("path").distinct()
-        return step.join(mine, "path", "left_semi"), traj.join(mine, "path", "left_semi")
+        return self._kept(step.join(mine, "path", "left_semi"), "steps"), self._kept(traj.join(mine, "path", "left_semi"), "trajectories")
 
     @property
     def steps(self) -> DataFrame:

@@ -108,15 +108,15 @@ def test_stores_and_configuration(spark, home, tmp_path, monkeypatch):
     assert {os.path.basename(r.path): r.fmt for r in files.sniff(lines).collect()} == {"s.jsonl": "codex", "t.jsonl": "claude"}
 
 
-def test_command_line(spark, home, capsys, monkeypatch):
-    monkeypatch.setattr(config, "load", lambda path=None: {})
+def test_command_line(spark, home, lake, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "Lake", lambda spark, home, scope=None: lake)  # parsed once for all commands
 
     def run(*argv):
         code = cli.main(["--home", str(home), *argv], spark)
         return code, capsys.readouterr()
 
     code, out = run("list", "--all", "--page-size", "4")
-    assert code == 0 and "page 1/3 | trajectories 1–4 of 11" in out.out and "copilot here" in out.out
+    assert code == 0 and "page 1/3 | trajectories 1–4 of 12" in out.out and "/elsewhere" in out.out
     code, out = run("list", "--all", "--page", "9")
     assert code == 1 and "out of range" in out.err
     code, out = run("search", "probe here")
@@ -131,7 +131,7 @@ def test_command_line(spark, home, capsys, monkeypatch):
     with pytest.raises(SystemExit):
         run("info", "nope")
     assert json.loads(capsys.readouterr().out) == {"error": "trajectory `nope` not found"}
-    assert json.loads(run("stats", "--all")[1].out)["total_trajectories"] == 11
+    assert json.loads(run("stats", "--all")[1].out)["total_trajectories"] == 12
     assert json.loads(run("advanced", "tools", "--id", "one.jsonl", "--json")[1].out)["programs"] == [{"program": "git", "count": 1}]
     assert "No agent edits" in run("blame", "/nothing", "--all")[1].out
 
