@@ -64,7 +64,7 @@ def main() -> None:
         times[f"grep_{name}"] = timed(lambda: search.grep(records, steps, query))
         times[f"index_{name}"] = timed(lambda: index.lookup(spark, f"{folder}/index", query))
         times[f"capped_{name}"] = timed(lambda: index.lookup(spark, f"{folder}/index", query).limit(search.CANDIDATES).join(docs, ["path", "step_id"]).where(text.matches(F.col("text"), text.parse_query(query))))
-    for name in ("conv_records", "token_estimate", "stats_by_lang", "event_summary", "programs", "blame_write", "roundtrip_claude", "roundtrip_codex", "snapshot_diff", "result_pairing"):
+    for name in ("conv_records", "stats_by_lang", "blame_write", "roundtrip_claude"):
         times[name] = timed(lambda: catalogue.QUERIES[name](spark, sf))
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "sum of medians of the headline queries", "value": total, "unit": "sec", "queries": times, "index_build_sec": build, "sf": os.path.basename(sf.rstrip("/"))}))
