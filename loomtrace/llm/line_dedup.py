@@ -12,10 +12,12 @@ from . import common as c
 
 #: Lines of the shortest run that is found and deleted.
 RUN = 3
+#: Words from which shorter runs count too, down to a single line, where the caller asks for it.
+WORDS = 8
 #: What is taken off both ends of a line before it is compared.
 EDGE = " \t\r"
 
-_FOUND = "fp long, id {id}, key binary, wins array<struct<at:int,hash:binary>>"
+_FOUND = "fp long, id {id}, key binary, wins array<struct<at:int,n:int,hash:binary>>"
 
 
 def row_key(docs: DataFrame, text: str, doc_id: str):
@@ -35,7 +37,24 @@ def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
     return np.arange(len(wins)) + run - 1 - np.argmin(wins[:, ::-1], axis=1)
 
 
-def _fingerprints(run: int):
+def windows(size: np.ndarray, run: int, words: int | None):
+    """(n, starts): the windows of n <= ``run`` lines that have to be looked at, ``size`` being the words of each line.
+
+    Windows of ``run`` lines count, and shorter ones of ``words`` words. Where both windows without an end line count, a
+    window is a repeat only if they are, and they cover it.
+    """
+    total = np.concatenate(([0], np.cumsum(size)))
+    shorter = np.zeros(len(size) + 1, bool)
+    for n in range(1 if words else run, min(run, len(size)) + 1):
+        counts = (total[n:] - total[:-n] >= words) | (n == run) if words else np.ones(len(size) + 1 - n, bool)
+        if words and n > 1:
+            yield n, np.flatnonzero(counts & ~(shorter[:-1] & shorter[1:]))
+        else:
+            yield n, np.flatnonzero(counts)
+        shorter = counts
+
+
+def _fingerprints(run: int, words: int | None):
     def go(batches):
         schema = None
         for part in c.slices(batches, "text"):
@@ -43,42 +62,48 @@ def _fingerprints(run: int):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for i, text in enumerate(part.column("text").to_pylist()):
                 lines, real = lines_of(text)
-                if len(real) < run:
+                if not real or len(real) < run and not words:
                     continue
-                h = np.array([xxhash.xxh3_64_intdigest(lines[j].strip(EDGE).encode("utf-8", "surrogatepass")) >> 1 for j in real], np.int64)
-                picks, raw = winnow(h, run), h.tobytes()
-                starts = np.flatnonzero(np.concatenate(([True], picks[1:] != picks[:-1])))
-                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(picks)]):
-                    out[0].append(int(h[picks[s]]))
-                    out[1].append(ids[i])
-                    out[2].append(keys[i])
-                    out[3].append([{"at": w, "hash": xxhash.xxh3_128_digest(raw[8 * w : 8 * (w + run)])} for w in range(s, e)])
-            schema = schema or pa.schema([("fp", pa.int64()), ("id", part.schema.field("id").type), ("key", pa.binary()), ("wins", pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.binary())])))])
+                own = [lines[j].strip(EDGE).encode("utf-8", "surrogatepass") for j in real]
+                raw = b"".join(xxhash.xxh3_128_digest(x) for x in own)
+                h = np.frombuffer(raw, np.int64)[::2] & 0x7FFFFFFFFFFFFFFF
+                size = np.array([len(x.split()) for x in own] if words else [0] * len(own))
+                for n, at in windows(size, run, words):
+                    if not len(at):
+                        continue
+                    picks = winnow(h, n)[at]
+                    starts = np.flatnonzero(np.concatenate(([True], picks[1:] != picks[:-1])))
+                    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(picks)]):
+                        out[0].append(int(h[picks[s]]) ^ (run - n))  # windows of other lengths have other fingerprints
+                        out[1].append(ids[i])
+                        out[2].append(keys[i])
+                        out[3].append([{"at": w, "n": n, "hash": xxhash.xxh3_128_digest(raw[16 * w : 16 * (w + n)])} for w in at[s:e].tolist()])
+            schema = schema or pa.schema([("fp", pa.int64()), ("id", part.schema.field("id").type), ("key", pa.binary()), ("wins", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("hash", pa.binary())])))])
             yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(n).type) for n, x in enumerate(out)], schema=schema)
 
     return go
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, starts): the windows of ``run`` lines, by the number of their first line among those that aren't blank, that began earlier."""
+def repeated_windows(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str = "doc_id", words: int | None = None) -> DataFrame:
+    """(key, starts): the windows that began earlier, by the number of their first line among those that aren't blank, and their lines."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.where(c.col(text).isNotNull()).select(c.col(doc_id).alias("id"), row_key(docs, text, doc_id).alias("key"), c.col(text).cast("string").alias("text"))
-    found = c.checkpoint(rows.mapInArrow(_fingerprints(run), _FOUND.format(id=kind)))
+    found = c.checkpoint(rows.mapInArrow(_fingerprints(run, words), _FOUND.format(id=kind)))
     # a repeated window has its fingerprint in both places, so fingerprints that stand once take their windows out early
     often = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1 ").select("fp")
     wins = found.join(often, "fp").select("id", "key", F.explode("wins").alias("w"))
-    wins = wins.select(F.col("w.hash").alias("hash"), F.struct(F.col("id").isNull().alias("no"), "id", "key", F.col("w.at").alias("at")).alias("place"))
+    wins = wins.select(F.col("w.hash").alias("hash"), F.struct(F.col("id").isNull().alias("no"), "id", "key", F.col("w.at").alias("at"), F.col("w.n").alias("n")).alias("place"))
     # both ways from a fingerprint a match goes on exactly as long as the windows around it are repeated ones
     first = wins.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("hash", "first")
     later = wins.join(first, "hash").where("place > first")
-    return later.groupBy("place.key").agg(F.collect_set("place.at").alias("starts"))
+    return later.groupBy("place.key").agg(F.collect_set(F.struct("place.at", "place.n")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str = "doc_id", removed: str | None = None) -> DataFrame:
-    """``docs`` without later copies of runs of at least ``run`` lines.
+def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str = "doc_id", removed: str | None = None, words: int | None = None) -> DataFrame:
+    """``docs`` without later copies of runs of at least ``run`` lines and, with ``words``, of shorter ones of at least so many words.
 
     Lines are compared without blanks, tabs and carriage returns around them; blank lines belong to no run and stay. A
-    window of ``run`` lines is a repeat if an equal one begins earlier: in a document with a lesser id (nulls last, then
+    window of ``run`` lines (or of fewer that hold ``words`` words, counted between white space) is a repeat if an equal one begins earlier: in a document with a lesser id (nulls last, then
     by a digest), or further up in the same document, overlaps included. All lines in repeats go. Fingerprints are the
     minima of line hashes in each window; their positions are joined, and each match is extended both ways by joining
     the windows around it, so every copy is compared with the first one and no list of partners is ever cut.
@@ -88,7 +113,7 @@ def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str
     column for the number of deleted lines; other columns of any name are kept.
     """
     key, starts, told = c.fresh(docs, "key", "starts", "told")
-    again = repeated_windows(docs, run, text, doc_id).select(F.col("key").alias(key), F.col("starts").alias(starts))
+    again = repeated_windows(docs, run, text, doc_id, words).select(F.col("key").alias(key), F.col("starts").alias(starts))
     joined = docs.withColumn(key, row_key(docs, text, doc_id)).join(again, key, "left")
     schema = c.with_type(joined, **{told: "long"})
 
@@ -100,7 +125,7 @@ def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str
                 new, n = [], []
                 for t, s in zip(part.column(text).to_pylist(), cut.to_pylist()):
                     lines, real = lines_of(t)
-                    gone = {real[w + i] for w in s or () for i in range(run)}
+                    gone = {real[w["at"] + i] for w in s or () for i in range(w["n"])}
                     new.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
                     n.append(len(gone))
                 new, n = pa.array(new, part.schema.field(text).type), pa.array(n, pa.int64())

@@ -46,6 +46,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 with single lines and pairs of lines as runs too, if they hold ``WORDS`` words."""
+    from . import line_dedup
+
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed", words=line_dedup.WORDS)
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -78,6 +85,10 @@ QUERIES = {
     for f in (op1_embedding_dedup, op2_pii, op3_mixing, op4_token_counts, op5_exact_dedup, op6_line_dedup, op7_simhash_dedup, op8_html_text, op9_quality, op10_packing)
 }
 
+#: Further queries of the same operators.
+MORE = {f.__name__: f for f in (op6_passage_dedup,)}
+
+
 def _mixing_sql() -> str:
     """Water-filling level by level: among siblings in the order of capacity over weight, those are full whose capacity is within
     the level that their own rest allows; the others share what is left by weight."""
@@ -158,3 +169,33 @@ SELECT d.doc_id, coalesce(k.text, '') AS text, coalesce(n.n, 0)::BIGINT AS n_rem
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """,
 }
+
+MORE_ORACLES: dict[str, str] = {
+    "op6_passage_dedup": """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents
+), real AS (
+    SELECT doc_id, no, trim(line, ' ' || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k
+    FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), sized AS (
+    SELECT *, len(regexp_extract_all(t, '[^\\s\\x0B]+')) AS size FROM real
+), next AS (
+    SELECT doc_id, k, t AS t1, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3, size AS s1, size + lead(size, 1) OVER w AS s2
+    FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), wins AS (
+    SELECT doc_id, k, 1 AS n, [t1] AS win FROM next WHERE s1 >= 8
+    UNION ALL SELECT doc_id, k, 2, [t1, t2] FROM next WHERE s2 >= 8
+    UNION ALL SELECT doc_id, k, 3, [t1, t2, t3] FROM next WHERE t3 IS NOT NULL
+), again AS (
+    SELECT doc_id, k, n FROM wins QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, k) > 1
+), gone AS (
+    SELECT DISTINCT r.doc_id, r.no FROM real r JOIN again a ON r.doc_id = a.doc_id AND r.k BETWEEN a.k AND a.k + a.n - 1
+), kept AS (
+    SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id
+), n AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.text, '') AS text, coalesce(n.n, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+""",
+}

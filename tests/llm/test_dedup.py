@@ -187,6 +187,42 @@ def test_line_dedup_against_brute_force(spark, run):
     assert got == {i: (t, k) for (i, _), t, k in zip(rows, text, n)}
 
 
+def brute_passages(rows, run, least):
+    """As brute_lines, with every window of up to ``run`` lines that has that many lines or ``least`` words."""
+    seen, gone = set(), {}
+    for i, (_, t) in sorted(enumerate(rows), key=lambda x: x[1][0]):
+        lines = (t or "").split("\n")
+        real = [j for j, x in enumerate(lines) if x.strip(" \t\r")]
+        gone[i] = set()
+        for s in range(len(real)):
+            for n in range(1, min(run, len(real) - s) + 1):
+                win = tuple(lines[j].strip(" \t\r") for j in real[s : s + n])
+                if n < run and sum(len(x.split()) for x in win) < least:
+                    continue
+                if win in seen:
+                    gone[i] |= set(real[s : s + n])
+                seen.add(win)
+    return {r[0]: ("\n".join(x for j, x in enumerate(r[1].split("\n")) if j not in gone[i]) if r[1] is not None else None, len(gone[i])) for i, r in enumerate(rows)}
+
+
+@pytest.mark.parametrize("run, least", [(3, 8), (2, 5), (5, 12), (1, 4)])
+def test_line_dedup_of_short_runs_against_brute_force(spark, run, least):
+    rng = random.Random(run)
+    pool = [words(rng, rng.choice((1, 2, 3, 5, 9))) for _ in range(60)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool) + rng.choice(("", " ", "\t", "\r")) for _ in range(rng.choice((1, 2, 3, 12))))) for i in range(80)]
+    rows += [(81, None), (82, ""), (83, "\n".join(["same"] * 30))]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.text, r.n) for r in line_dedup.line_dedup(docs(spark, rows), run, removed="n", words=least).collect()}
+    assert got == brute_passages(rows, run, least)
+
+
+def test_passages_of_one_and_two_lines_go_and_short_lines_stay(spark):
+    one, two = words(random.Random(1), 60), words(random.Random(2), 5) + "\n" + words(random.Random(3), 5)
+    rows = [(1, one), (2, one), (3, f"{two}\nown"), (4, f"other\n{two}"), (5, "yes"), (6, "yes")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, rows), words=line_dedup.WORDS).collect()}
+    assert got == {1: one, 2: "", 3: f"{two}\nown", 4: "other", 5: "yes", 6: "yes"}
+
+
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
     text = "a\nb\nc\nd"
     rows = [(None, text), (4, text), (4, text), (9, "z\n" + text + "\ny")]
