@@ -16,20 +16,58 @@ from . import common as c
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is no text.
 SILENT = frozenset(("script", "style", "noscript", "template", "textarea", "select", "svg", "head", "iframe", "object"))
+#: Of these, elements whose content has no tags of its own; scripts and styles without an end go on to the end of the page.
+RAW = frozenset(("script", "style", "textarea", "iframe"))
+#: Elements that may stand in a head. Any other, and any text, ends a head that has no end tag.
+META = frozenset("head title meta link base basefont bgsound noframes script style noscript template".split())
+_ENDS = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in (*RAW, "title")}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _SPACE = re.compile(r"\s+")
 #: Words and link density of a block and of its neighbours.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
+def _tags(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], dict[int, int]]:
+    """Tags and comments in order: (start, end, name or "", closes, ends itself), and where silent elements end, by their start.
+
+    Ends belong to the last open element of their name; an element that is never closed has none.
+    """
+    out, ends, lost, at = [], {}, set(), 0
+    waiting: dict[str, list[int]] = {}
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        tag, close = (m.group(2) or "").lower(), bool(m.group(1))
+        alone = bool(tag) and m.group(3).rstrip().endswith("/")
+        out.append((start, at, tag, close, alone))
+        if tag not in SILENT or tag == "head" or alone and not close:
+            continue
+        if tag not in RAW:
+            if not close:
+                waiting.setdefault(tag, []).append(start)
+            elif waiting.get(tag):
+                ends[waiting[tag].pop()] = start
+        elif not close and tag not in lost:
+            if stop := _ENDS[tag].search(page, at):
+                ends[start] = at = stop.start()
+            elif tag in ("script", "style"):
+                ends[start] = at = len(page)
+            else:
+                lost.add(tag)
+    return out, ends
+
+
 def blocks(page: str | None) -> list[tuple[str, int, float]]:
-    """Flat text blocks in order: (text, words, share of words in links). Broken markup is read as far as it goes."""
+    """Flat text blocks in order: (text, words, share of words in links). Broken markup is read as far as it goes.
+
+    A head without an end tag ends at the first text or element that can't stand in it. Other silent elements that are
+    never closed are passed over and what follows them is read, except after scripts and styles.
+    """
     if not page:
         return []
     out: list[tuple[str, int, float]] = []
     parts: list[str] = []
     linked = at = 0
-    depth_a, silent = 0, ""
+    depth_a, head, titled, until = 0, False, False, 0
 
     def text(chunk: str) -> None:
         nonlocal linked
@@ -49,34 +87,38 @@ def blocks(page: str | None) -> list[tuple[str, int, float]]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    tags, ends = _tags(page)
+    for start, after, tag, close, alone in tags:
+        if start < until:
             continue
-        if not silent:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+        chunk, at = page[at:start], after
+        head = head and not chunk.strip()
+        if not head:
+            text(chunk)
         if not tag:
             continue
-        close = bool(m.group(1))
-        if silent:
-            if close and tag == silent:
-                silent = ""
+        if tag == "title" and titled and not close and (stop := _ENDS[tag].search(page, at)):
+            end()
+            at = until = stop.start()
             continue
-        if tag in SILENT:
+        if head:
+            head = tag not in ("head", "body", "html") if close else tag in META
+            if head and (close or tag not in SILENT):
+                continue
+        if tag == "head":
+            end()
+            head = not close and not alone
+            titled = True
+        elif tag in SILENT:
             end()
-            if not close and not m.group(3).rstrip().endswith("/"):
-                # the content of these has no tags of its own; go on behind the end
-                stop = page.lower().find(f"</{tag}", at) if tag in ("script", "style") and len(page) < 200_000 else -1
-                silent = tag
-                if stop >= 0:
-                    at = stop
+            if not close and start in ends:
+                at = until = ends[start]
         elif tag == "a":
             depth_a = 0 if close else 1
         elif tag not in INLINE:
             end()
             depth_a = 0
-    if not silent:
+    if not head or page[at:].strip():
         text(page[at:])
     end()
     return out

@@ -86,6 +86,24 @@ def test_blocks_of_a_page():
     assert html_blocks.blocks("<style>x<p>y") == []
 
 
+def test_blocks_behind_elements_without_an_end():
+    found = lambda page: [b[0] for b in html_blocks.blocks(page)]
+    start = "<html><head><meta charset=x><title>t</title><script>'</head><p>'</script><!-- c --><noscript><p>no</p></noscript>"
+    for head in (start + "<body>", start + "</head><body>", start, start + "</body>", start + "<div>", start + "<p>"):
+        assert found(head + "<p>article<p>more") == ["article", "more"], head
+    assert found(start + "article") == ["article"] and found(start) == []
+    assert found(start + "<custom-x></custom-x><title>t</title><p>article") == ["article"]
+    for tag in ("noscript", "template", "select", "textarea", "svg", "iframe", "object"):
+        assert found(f"<p>one<{tag}><p>two<div>three") == ["one", "two", "three"], tag
+        assert found(f"<p>one<{tag}>gone</{tag.upper()} >two") == ["one", "two"], tag
+        assert found(f"{start}<{tag}><body><p>article") == ["article"], tag
+    assert found("<noscript><p>one</p><noscript>gone</noscript><p>two") == ["one", "two"]
+    assert found("<svg><svg>gone</svg>gone</svg>one") == ["one"]
+    assert found("<textarea><script></textarea>one<p>two") == ["one", "two"]
+    assert found("<script>x<p>y") == found("<head><style>x<p>y") == []
+    assert found("<iframe>" * 20_000 + "one") == found("<select>" * 20_000 + "one") == ["one"]
+
+
 def test_tree_on_held_out_pages():
     tree = html_blocks.train()
     pages = html_blocks.labelled_pages(100, seed=99)
