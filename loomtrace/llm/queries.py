@@ -15,6 +15,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "label")
 
 
+def op1_embedding_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with all columns of the kept rows."""
+    from . import embedding_dedup
+
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii_crf
 
@@ -27,6 +34,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), with_epoch=True).select("doc_id", "lang", "source", "epoch")
 
 
+def op3_mixing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 with all columns of the drawn rows."""
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"), with_epoch=True)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_cache
 
@@ -40,6 +54,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
 
 
+def op5_exact_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with all columns of the kept rows."""
+    from . import exact_dedup
+
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -56,7 +77,7 @@ def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
-    return simhash.simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +107,7 @@ QUERIES = {
 }
 
 #: Further queries of the same operators.
-MORE = {f.__name__: f for f in (op6_passage_dedup,)}
+MORE = {f.__name__: f for f in (op1_embedding_dedup_rows, op3_mixing_rows, op5_exact_dedup_rows, op6_passage_dedup)}
 
 
 def _mixing_sql() -> str:
@@ -171,6 +192,12 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id
 }
 
 MORE_ORACLES: dict[str, str] = {
+    "op1_embedding_dedup_rows": f"SELECT e.* FROM embeddings e JOIN ({ORACLES['op1_embedding_dedup']}) kept ON e.vec_id = kept.vec_id",
+    "op3_mixing_rows": f"SELECT d.*, drawn.epoch FROM documents d JOIN ({ORACLES['op3_mixing']}) drawn ON d.doc_id = drawn.doc_id",
+    "op5_exact_dedup_rows": """
+SELECT * FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1
+""",
     "op6_passage_dedup": """
 WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents

@@ -60,3 +60,14 @@ def test_every_operator_has_a_query():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(names)
+
+
+def test_queries_of_kept_rows_have_all_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {tuple(r) for r in docs.collect()}
+    for name, f in (("op5_exact_dedup_rows", queries.MORE), ("op7_simhash_dedup", queries.QUERIES)):
+        got = f[name](spark, sf)
+        assert got.columns == docs.columns
+        assert {tuple(r) for r in got.collect()} <= whole
+    assert queries.MORE["op3_mixing_rows"](spark, sf).columns == [*docs.columns, "epoch"]
+    assert queries.MORE["op1_embedding_dedup_rows"](spark, sf).columns == spark.read.parquet(f"{sf}/embeddings.parquet").columns
