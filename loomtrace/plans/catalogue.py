@@ -368,7 +368,8 @@ _TALK = _STEPS.format(where="role IN ('user', 'assistant') AND")
 
 
 def _lines(spark, sf_dir, user: list, agent: list) -> DataFrame:
-    """Turns as native lines: ``user`` and ``agent`` are lists of structs for each turn."""
+    """Turns as native lines: ``user`` and ``agent`` are lists of structs for each turn. System turns are left out, as in
+    the SQL; totals made from these lines cover user and assistant turns only."""
     c = _t(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
     rows = F.when(F.col("role") == "user", F.array(*map(F.to_json, user))).otherwise(F.array(*map(F.to_json, agent)))
     return c.select(_str("conv_id").alias("path"), "turn", F.posexplode(rows).alias("k", "value")).select("path", (F.col("turn") * 4 + F.col("k")).alias("line_no"), "value")
