@@ -6,16 +6,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 from .exact_dedup import digest
 
 BITS = 128
-#: Segments of BITS / SEGMENTS bits. Two signatures that differ in at most 2 * SEGMENTS - 1 bits have a segment that differs in one at most.
-SEGMENTS = 8
-SURE = 2 * SEGMENTS - 1
-#: Bits in which near copies may differ. Up to SURE bits no pair is missed; of those beyond, pairs that share a variant are found (over 0.9 of them).
+#: Bits in which near copies may differ. Every pair of texts up to so many bits apart is found, and no other one is linked.
 DISTANCE = 21
+#: Signatures of one bucket that are compared in one go; larger buckets are cut into blocks, and each pair of blocks is a unit of its own.
+BLOCK = 4096
 #: Letters from which a word counts in full; shorter ones are mostly grammar and count little.
 LONG = 4
 SHORT_WEIGHT = 0.1
@@ -98,116 +98,177 @@ def signatures(texts: list[str | None]) -> list[bytes | None]:
 
 
 def _sign(batches):
-    for part in c.slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(signatures(part.column("text").to_pylist()), pa.binary())], ["digest", "sig"])
+    for batch in batches:
+        for part in c.slices(batch, "text"):
+            made = signatures(part.column("text").to_pylist())
+            none = np.array([x is None for x in made])
+            word = np.frombuffer(b"".join(x or bytes(16) for x in made), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("place"), pa.array(made, pa.binary()), *(pa.array(np.ascontiguousarray(word[:, i]), mask=none) for i in (0, 1))], ["digest", "place", "sig", "w0", "w1"])
 
 
-def _variants(sig) -> F.Column:
-    """Every (segment, deleted bit, other bits) of a signature as one 64-bit key each: BITS keys."""
-    wide = BITS // SEGMENTS
+def segments(k: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the fewest segments of which one differs in at most one bit when at most ``k`` of all bits do."""
+    n = (k + 2) // 2
+    cuts = [round(i * BITS / n) for i in range(n + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
+
+
+def variants(k: int) -> F.Column:
+    """Keys of the one-wildcard variants of every segment: BITS of them, each naming its segment, the bit left out and the others.
+
+    A key is a hash, so that segments of any width have keys of 64 bits; what meets by chance is told apart on verification.
+    """
     keys = []
-    for s in range(SEGMENTS):
-        seg = F.conv(F.hex(F.substring(sig, s * wide // 8 + 1, wide // 8)), 16, 10).cast("long")
-        for bit in range(wide):
-            keys.append(seg.bitwiseAND(F.lit(((1 << wide) - 1) ^ (1 << bit))) + F.lit((s * wide + bit) << wide))
+    for first, wide in segments(k):
+        whole = ((1 << wide) - 1) << first
+        for bit in range(first, first + wide):
+            mask = whole & ~(1 << bit)
+            words = [(mask >> (64 * i)) & (2**64 - 1) for i in (0, 1)]
+            signed = [w - 2**64 if w >= 2**63 else w for w in words]
+            keys.append(F.xxhash64(F.lit(bit), *(F.col(f"w{i}").bitwiseAND(F.lit(w)) for i, w in enumerate(signed) if w)))
     return F.array(*keys)
 
 
-def within(sigs: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """Edges that connect the same signatures as all pairs of rows of ``sigs`` (n x 2 words of 64 bits) at most ``k`` bits apart.
+def within(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Whether ``x[i]`` and ``y[j]`` (rows of two 64-bit words) are at most ``k`` bits apart. The second words are only looked at where the first ones allow it."""
+    out = np.empty((len(x), len(y)), bool)
+    for s in range(0, len(x), 256):
+        strip = out[s : s + 256]
+        np.less_equal(np.bitwise_count(x[s : s + 256, None, 0] ^ y[None, :, 0]), k, out=strip)
+        i, j = np.nonzero(strip)
+        strip[i, j] = np.bitwise_count(x[s + i] ^ y[j]).sum(axis=1) <= k
+    return out
+
+
+def linked(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the components of the matrix ``near`` between members ``rows`` and ``columns``. Where most are near one another, labels
+    are passed along its rows and columns until none changes, so that no list of pairs is made."""
+    if np.count_nonzero(near) <= 16 * sum(near.shape):
+        i, j = np.nonzero(near)
+        return rows[i], columns[j]
+    n = int(max(rows.max(), columns.max())) + 1
+    label = np.arange(n, dtype=np.int32)
+    while True:
+        old = label.copy()
+        label[rows] = np.minimum(label[rows], np.where(near, label[columns][None, :], n).min(axis=1))
+        label[columns] = np.minimum(label[columns], np.where(near, label[rows][:, None], n).min(axis=0))
+        label = label[label]
+        if (label == old).all():
+            moved = np.flatnonzero(label != np.arange(n))
+            return label[moved].astype(np.int64), moved
+
+
+def _pairs(unit: np.ndarray, side: np.ndarray, sig: np.ndarray, k: int):
+    """Edges by row number, of rows in the order of units."""
+    first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    size = np.diff(np.concatenate((first, [len(unit)])))
+    for n in np.unique(size[size > 1]).tolist():
+        at = first[size == n]
+        if n > 512:
+            for s in at.tolist():
+                one = side[s : s + n] == 0
+                p, q = (np.flatnonzero(one), np.flatnonzero(~one)) if one.any() and not one.all() else (np.arange(n), np.arange(n))
+                i, j = linked(within(sig[s : s + n][p], sig[s : s + n][q], k), p, q)
+                yield s + i, s + j
+            continue
+        step = max(1, 250_000 // (n * n))
+        for s in range(0, len(at), step):
+            rows = at[s : s + step, None] + np.arange(n)
+            word = sig[rows, 0]
+            b, i, j = np.nonzero(np.bitwise_count(word[:, :, None] ^ word[:, None, :]) <= k)
+            later = i < j
+            p, q = rows[b[later], i[later]], rows[b[later], j[later]]
+            near = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1) <= k
+            yield p[near], q[near]
+
+
+def _near(k: int, rows_at_once: int = 200_000):
+    """Over rows (unit, side, w0, w1) in the order of units: edges between the signatures of a unit, as stars."""
+
+    def edges(found):
+        both = np.concatenate([np.concatenate([f[i] for f in found]) for i in (0, 1)]) if found else np.empty((0, 2), np.uint64)
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        new = np.ones(len(both), bool)
+        new[1:] = (both[order][1:] != both[order][:-1]).any(axis=1)
+        number = np.empty(len(both), np.int64)
+        number[order] = np.cumsum(new) - 1
+        names = both[order][new]
+        i, j = c.stars(number[: len(both) // 2], number[len(both) // 2 :])
+        return pa.RecordBatch.from_arrays([pa.array([names[x].tobytes() for x in v.tolist()], pa.binary()) for v in (i, j)], ["a", "b"])
 
-    Rows near a pivot are joined through it and never compared with one another; every other pair is compared.
-    """
-    edges: list[tuple[int, int]] = []
-    left, done = np.arange(len(sigs)), [np.empty(0, np.int64)]
-    while len(left) > 0:
-        pivot, rest = left[0], left[1:]
-        near = np.bitwise_count(sigs[rest] ^ sigs[pivot]).sum(axis=1) <= k
-        ball = rest[near]
-        edges += [(int(pivot), int(x)) for x in ball]
-        left = rest[~near]
-        ball = np.concatenate(([pivot], ball))
-        for x in left:  # a row outside the ball may still touch one inside
-            hit = np.flatnonzero(np.bitwise_count(sigs[ball[1:]] ^ sigs[x]).sum(axis=1) <= k) if len(ball) > 1 else ()
-            if len(hit):
-                edges.append((int(x), int(ball[1 + hit[0]])))
-        done.append(ball)
-    return edges
-
-
-def _near(k: int):
     def run(batches):
-        keys, sigs = [], []
-        for b in batches:
-            keys.append(b.column("key").to_numpy())
-            sigs.append(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, 2))
-        if not keys:
-            return
-        key, sig = np.concatenate(keys), np.concatenate(sigs)
-        order = np.argsort(key, kind="stable")
-        key, sig = key[order], sig[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.concatenate((start, [len(key)])))
-        found: list[np.ndarray] = []
-        small = size <= 64
-        for n in np.unique(size[small]):
-            if n < 2:
-                continue
-            i, j = np.triu_indices(n, 1)
-            step = max(1, 4_000_000 // len(i))
-            at = start[small & (size == n)]
-            for s in range(0, len(at), step):
-                a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
-                ok = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1) <= k
-                found.append(np.stack((a[ok], b[ok]), 1))
-        for s, n in zip(start[~small], size[~small]):
-            if e := within(sig[s : s + n], k):
-                found.append(np.array(e, np.int64) + s)
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        ids = {}  # the same signature stands in many keys
-        raw = sig.tobytes()
-        num = lambda r: ids.setdefault(raw[16 * r : 16 * r + 16], len(ids))
-        a, b = np.array([num(r) for r in pairs[:, 0].tolist()], np.int64), np.array([num(r) for r in pairs[:, 1].tolist()], np.int64)
-        names = list(ids)
-        kept = c.forest(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in kept], pa.binary()), pa.array([names[y] for _, y in kept], pa.binary())], ["a", "b"])
+        held: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def work(rows):
+            sig = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+            found.extend((sig[i], sig[j]) for i, j in _pairs(rows[:, 0], rows[:, 1], sig, k) if len(i))
+
+        for batch in batches:
+            held.append(np.stack([batch.column(f).to_numpy() for f in ("unit", "side", "w0", "w1")], 1))
+            if sum(map(len, held)) >= rows_at_once:
+                rows = np.concatenate(held)
+                cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last unit may go on
+                work(rows[:cut])
+                held = [rows[cut:]]
+            if sum(len(a) for a, _ in found) > 1_000_000:
+                yield edges(found)
+                found.clear()
+        if held:
+            work(np.concatenate(held))
+        yield edges(found)
 
     return run
 
 
-def near_edges(sigs: DataFrame, k: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between distinct signatures; their components are those of all pairs at most ``k`` bits apart that share a variant.
+def near_edges(sigs: DataFrame, k: int = DISTANCE, block: int = BLOCK, part: int = 16) -> DataFrame:
+    """Edges (a, b) between distinct signatures, given as two words; their components are those of all pairs at most ``k`` bits apart.
 
-    Pairs up to SURE bits apart always share one. Every signature is sent to its BITS one-wildcard segment variants; the equality of keys is the join, and each
-    bucket's pairs are verified by XOR and bit count where they meet.
+    Of so few segments that one differs in at most one bit, every one-wildcard variant is a key; the equality of keys is
+    the join. Signatures that share a key are compared by XOR and bit count, in the order of keys and one bucket at a time. Buckets of
+    more than ``block`` signatures are cut into blocks by a hash, and every pair of blocks is a unit of its own, so that no
+    bucket is one task. How large buckets are is told from one in ``part`` signatures; that settles the cut alone, since every
+    pair of a bucket meets in some unit however it is cut.
     """
-    keyed = sigs.select("sig", F.explode(_variants(F.col("sig"))).alias("key"))
-    return keyed.repartition("key").mapInArrow(_near(k), "a binary, b binary")
+    tasks = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sigs.where(F.pmod(F.xxhash64("w0", "w1"), F.lit(part)) == 0).select(F.explode(variants(k)).alias("key"))
+    hot = some.groupBy("key").agg((F.count("*") * part).alias("n")).where(F.col("n") > block)
+    hot = c.checkpoint(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "buckets")
+    keyed = sigs.repartition(tasks, "w0", "w1").select("w0", "w1", F.explode(variants(k)).alias("key"))
+    units = keyed.select(F.col("key").alias("unit"), F.lit(0).cast("long").alias("side"), "w0", "w1")
+    if not hot.isEmpty():
+        both = keyed.join(c.small(hot), "key", "left")
+        own = F.pmod(F.xxhash64("w0", "w1", F.lit(1)), F.col("parts"))
+        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = both.select("key", "w0", "w1", own.alias("own"), other.alias("other"))
+        unit = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        units = both.select(unit.alias("unit"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "w0", "w1")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_near(k), "a binary, b binary")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of texts linked by signatures at most ``k`` bits apart,
-    the row with the least ``doc_id`` stays.
+    the row with the least ``doc_id`` stays. All such pairs are found (see ``near_edges``).
 
     Signatures are made once per row in Arrow batches and kept by the digest of the text; groups are connected
-    components over distinct signatures. Texts are shuffled once at most, and only where the caller keeps them.
+    components over distinct signatures. Winners are found by narrow rows and joined back by digest and id, so that copies
+    of one text don't meet in one task. Texts of any length are signed whole, and shuffled once at most.
 
     Null ids come after all others, ties are decided by the text's digest, wholly equal rows leave one. Null texts and
-    texts without any letter or digit have no signature: those rows all stay. An empty table gives an empty table.
+    texts without any letter or digit have no signature: those rows all stay. An empty table gives an empty table. Extra columns of
+    any name are kept.
     """
-    dig, win, none, rank = c.fresh(docs, "digest", "win", "none", "rank")
+    dig, win, rank = c.fresh(docs, "digest", "win", "rank")
     keyed = docs.withColumn(dig, digest(c.col(text)))
-    signed = keyed.select(c.col(dig).alias("digest"), c.col(text).cast("string").alias("text")).mapInArrow(_sign, "digest binary, sig binary")
-    signed = c.checkpoint(signed.groupBy("digest").agg(F.first("sig").alias("sig")))
-    comp = c.components(near_edges(signed.where("sig is not null").select("sig").distinct(), k))
-    group = signed.join(comp, signed.sig == comp.node, "left").select("digest", F.coalesce("comp", "sig").alias("comp"))
     place = F.struct(c.col(doc_id).isNull().alias("no"), c.col(doc_id).alias("id"), c.col(dig).alias("digest"))
-    # the winner of each group, by narrow rows; groups without a signature have none and pass
-    named = keyed.select(c.col(dig).alias("digest"), place.alias("place")).groupBy("digest").agg(F.min("place").alias("place")).join(group, "digest")
-    best = named.where("comp is not null").groupBy("comp").agg(F.min("place").alias("place")).select(F.col("place.digest").alias(dig), F.col("place").alias(win), F.lit(False).alias(none))
-    blank = named.where("comp is null").select(F.col("digest").alias(dig), F.lit(None).cast(best.schema[win].dataType).alias(win), F.lit(True).alias(none))
-    left = keyed.join(best.unionByName(blank), dig)
-    left = left.where(c.col(none) | c.col(win)["id"].eqNullSafe(c.col(doc_id)))
-    order = Window.partitionBy(c.col(dig)).orderBy(c.row_hash(docs, text))
-    left = left.withColumn(rank, F.row_number().over(order))
-    return left.where(c.col(none) | (c.col(rank) == 1)).select(*c.cols(docs))
+    rows = keyed.select(c.col(dig).alias("digest"), place.alias("place"), c.col(text).cast("string").alias("text"))
+    signed = rows.mapInArrow(_sign, T.StructType([*rows.drop("text").schema, *T._parse_datatype_string("sig binary, w0 long, w1 long")]))
+    signed = c.checkpoint(signed.groupBy("digest").agg(F.min("place").alias("place"), *(F.max(x).alias(x) for x in ("sig", "w0", "w1"))), "signatures")
+    comp = c.components(near_edges(signed.where("sig is not null").select("w0", "w1").distinct(), k))
+    group = signed.where("sig is not null").join(comp, signed.sig == comp.node, "left").select("place", F.coalesce("comp", "sig").alias("comp"))
+    best = group.groupBy("comp").agg(F.min("place").alias("place")).select(F.col("place.digest").alias(dig), F.col("place.id").alias(win))
+    blank = keyed.join(signed.where("sig is null").select(F.col("digest").alias(dig)), dig, "left_semi")
+    left = keyed.join(best.withColumnRenamed(dig, rank), (c.col(dig) == c.col(rank)) & c.col(win).eqNullSafe(c.col(doc_id))).drop(rank)
+    order = Window.partitionBy(c.col(dig), c.col(win)).orderBy(c.row_hash(docs, text))
+    left = left.withColumn(rank, F.row_number().over(order)).where(c.col(rank) == 1)
+    return left.select(*c.cols(docs)).unionByName(blank.select(*c.cols(docs)))
