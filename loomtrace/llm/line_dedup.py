@@ -17,9 +17,6 @@ WORDS = 8
 #: What is taken off both ends of a line before it is compared.
 EDGE = " \t\r"
 
-_FOUND = "fp long, id {id}, key binary, wins array<struct<at:int,n:int,hash:binary>>"
-
-
 def row_key(docs: DataFrame, text: str, doc_id: str):
     """128 bits of a row's id and text; rows equal in both are one document."""
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(c.col(doc_id).cast("string"), F.lit("\1")), F.coalesce(c.col(text).cast("string"), F.lit("\1")))))
@@ -54,48 +51,93 @@ def windows(size: np.ndarray, run: int, words: int | None):
         shorter = counts
 
 
-def _fingerprints(run: int, words: int | None):
+def _lines(words: int | None):
+    """Of each text the digests of its lines that aren't blank and, where ``words`` counts, their words."""
+
+    def run(batches):
+        for batch in batches:
+            for part in c.slices(batch, "text"):
+                digests, sizes = [], []
+                for text in part.column("text").to_pylist():
+                    lines, real = lines_of(text)
+                    own = [lines[j].strip(EDGE).encode("utf-8", "surrogatepass") for j in real]
+                    digests.append(b"".join(xxhash.xxh3_128_digest(x) for x in own))
+                    sizes.append(np.array([len(x.split()) for x in own] if words else [], np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.binary())], ["id", "key", "lines", "sizes"])
+
+    return run
+
+
+def _fingerprints(lines: bytes, sizes: bytes, run: int, words: int | None):
+    """(n, starts, picks): windows of ``n`` lines and the line that each one has as its fingerprint, by number."""
+    h = np.frombuffer(lines, np.int64)[::2] & 0x7FFFFFFFFFFFFFFF
+    for n, at in windows(np.frombuffer(sizes, np.int32) if words else np.zeros(len(h), np.int32), run, words):
+        if len(at):
+            yield n, at, winnow(h, n)[at]
+
+
+def _positions(run: int, words: int | None):
+    """Positions of fingerprints: (fp, key, n, pick). Windows of other lengths have other fingerprints."""
+
     def go(batches):
-        schema = None
-        for part in c.slices(batches, "text"):
-            ids, keys = part.column("id").to_pylist(), part.column("key").to_pylist()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, text in enumerate(part.column("text").to_pylist()):
-                lines, real = lines_of(text)
-                if not real or len(real) < run and not words:
-                    continue
-                own = [lines[j].strip(EDGE).encode("utf-8", "surrogatepass") for j in real]
-                raw = b"".join(xxhash.xxh3_128_digest(x) for x in own)
-                h = np.frombuffer(raw, np.int64)[::2] & 0x7FFFFFFFFFFFFFFF
-                size = np.array([len(x.split()) for x in own] if words else [0] * len(own))
-                for n, at in windows(size, run, words):
-                    if not len(at):
-                        continue
-                    picks = winnow(h, n)[at]
-                    starts = np.flatnonzero(np.concatenate(([True], picks[1:] != picks[:-1])))
-                    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(picks)]):
-                        out[0].append(int(h[picks[s]]) ^ (run - n))  # windows of other lengths have other fingerprints
-                        out[1].append(ids[i])
-                        out[2].append(keys[i])
-                        out[3].append([{"at": w, "n": n, "hash": xxhash.xxh3_128_digest(raw[16 * w : 16 * (w + n)])} for w in at[s:e].tolist()])
-            schema = schema or pa.schema([("fp", pa.int64()), ("id", part.schema.field("id").type), ("key", pa.binary()), ("wins", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("hash", pa.binary())])))])
-            yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(n).type) for n, x in enumerate(out)], schema=schema)
+        for batch in batches:
+            fp, keys, ns, picks = [], [], [], []
+            for key, lines, sizes in zip(*(batch.column(f).to_pylist() for f in ("key", "lines", "sizes"))):
+                h = np.frombuffer(lines, np.int64)[::2] & 0x7FFFFFFFFFFFFFFF
+                for n, _, pick in _fingerprints(lines, sizes, run, words):
+                    pick = np.unique(pick)
+                    fp.append(h[pick] ^ (run - n))
+                    picks.append(pick)
+                    ns.append(np.full(len(pick), n, np.int32))
+                    keys += [key] * len(pick)
+            flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
+            yield pa.RecordBatch.from_arrays([flat(fp, np.int64), pa.array(keys, pa.binary()), flat(ns, np.int32), flat(picks, np.int32)], ["fp", "key", "n", "pick"])
+
+    return go
+
+
+def _extended(run: int, words: int | None):
+    """From each matched fingerprint both ways: the windows that hold it, as (hash, id, key, at, n)."""
+
+    def go(batches):
+        for batch in batches:
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            ids = batch.column("id")
+            rows = []
+            for i, (key, lines, sizes, found) in enumerate(zip(*(batch.column(f).to_pylist() for f in ("key", "lines", "sizes", "found")))):
+                matched = {(f["n"], f["pick"]) for f in found}
+                for n, at, pick in _fingerprints(lines, sizes, run, words):
+                    for w, p in zip(at.tolist(), pick.tolist()):
+                        if (n, p) in matched:
+                            out[0].append(xxhash.xxh3_128_digest(lines[16 * w : 16 * (w + n)]))
+                            out[1].append(key)
+                            out[2].append(w)
+                            out[3].append(n)
+                            rows.append(i)
+            made = [pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([made[0], ids.take(pa.array(rows, pa.int64())), *made[1:]], ["hash", "id", "key", "at", "n"])
 
     return go
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str = "doc_id", words: int | None = None) -> DataFrame:
-    """(key, starts): the windows that began earlier, by the number of their first line among those that aren't blank, and their lines."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    """(key, starts): the windows that began earlier, by the number of their first line among those that aren't blank, and their lines.
+
+    Only positions of fingerprints are shuffled at first. Those that stand in more than one place are joined, and from each of them
+    the match is extended both ways: the windows that hold it are compared by their digests, each with the earliest equal one.
+    Lines as frequent as a third of all rows are counted before any shuffle and looked up by a broadcast.
+    """
     rows = docs.where(c.col(text).isNotNull()).select(c.col(doc_id).alias("id"), row_key(docs, text, doc_id).alias("key"), c.col(text).cast("string").alias("text"))
-    found = c.checkpoint(rows.mapInArrow(_fingerprints(run, words), _FOUND.format(id=kind)))
-    # a repeated window has its fingerprint in both places, so fingerprints that stand once take their windows out early
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1 ").select("fp")
-    wins = found.join(often, "fp").select("id", "key", F.explode("wins").alias("w"))
-    wins = wins.select(F.col("w.hash").alias("hash"), F.struct(F.col("id").isNull().alias("no"), "id", "key", F.col("w.at").alias("at"), F.col("w.n").alias("n")).alias("place"))
-    # both ways from a fingerprint a match goes on exactly as long as the windows around it are repeated ones
-    first = wins.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("hash", "first")
-    later = wins.join(first, "hash").where("place > first")
+    kind = rows.schema["id"].dataType.simpleString()
+    lines = rows.mapInArrow(_lines(words), f"id {kind}, key binary, lines binary, sizes binary").where(F.length("lines") > 0)
+    lines = c.checkpoint(lines.dropDuplicates(["key"]), "lines")
+    spots = c.checkpoint(lines.select("key", "lines", "sizes").mapInArrow(_positions(run, words), "fp long, key binary, n int, pick int"), "positions")
+    often = spots.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1")
+    matched = c.lookup(spots, often, "fp", "times").groupBy("key").agg(F.collect_list(F.struct("n", "pick")).alias("found"))
+    wins = lines.join(matched, "key").mapInArrow(_extended(run, words), f"hash binary, id {kind}, key binary, at int, n int")
+    wins = c.checkpoint(wins.select("hash", F.struct(F.col("id").isNull().alias("no"), "id", "key", "at", "n").alias("place")), "windows")
+    first = wins.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = c.lookup(wins, first, "hash", "times").where("place > first")
     return later.groupBy("place.key").agg(F.collect_set(F.struct("place.at", "place.n")).alias("starts"))
 
 
@@ -103,34 +145,33 @@ def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc_id: str
     """``docs`` without later copies of runs of at least ``run`` lines and, with ``words``, of shorter ones of at least so many words.
 
     Lines are compared without blanks, tabs and carriage returns around them; blank lines belong to no run and stay. A
-    window of ``run`` lines (or of fewer that hold ``words`` words, counted between white space) is a repeat if an equal one begins earlier: in a document with a lesser id (nulls last, then
-    by a digest), or further up in the same document, overlaps included. All lines in repeats go. Fingerprints are the
-    minima of line hashes in each window; their positions are joined, and each match is extended both ways by joining
-    the windows around it, so every copy is compared with the first one and no list of partners is ever cut.
+    window of ``run`` lines (or of fewer that hold ``words`` words, counted between white space) is a repeat if an equal one begins
+    earlier: in a document with a lesser id (nulls last, then by a digest), or further up in the same document, overlaps
+    included. All lines in repeats go. Fingerprints are the minima of line hashes in each window; their positions are
+    joined, and each match is extended both ways (see ``repeated_windows``), so that every copy is compared with the first
+    one and no list of partners is ever cut. Texts of any length are read whole.
 
     Null and empty texts stay as they are; a text that repeats wholly becomes what blank lines leave of it. Rows equal in
     id and text are one document and get the same result. An empty table gives an empty table. ``removed`` names a
-    column for the number of deleted lines; other columns of any name are kept.
+    column for the number of deleted lines, in place of one called so; other columns of any name are kept.
     """
     key, starts, told = c.fresh(docs, "key", "starts", "told")
     again = repeated_windows(docs, run, text, doc_id, words).select(F.col("key").alias(key), F.col("starts").alias(starts))
     joined = docs.withColumn(key, row_key(docs, text, doc_id)).join(again, key, "left")
-    schema = c.with_type(joined, **{told: "long"})
 
-    def drop(batches):
-        for part in c.slices(batches, text):
+    def drop(batch):
+        for part in c.slices(batch, text):
             cut = part.column(starts)
-            new, n = part.column(text), pa.array(np.zeros(part.num_rows, np.int64))
-            if cut.null_count < part.num_rows:  # most slices hold nothing to delete and go on as they are
-                new, n = [], []
-                for t, s in zip(part.column(text).to_pylist(), cut.to_pylist()):
-                    lines, real = lines_of(t)
-                    gone = {real[w["at"] + i] for w in s or () for i in range(w["n"])}
-                    new.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
-                    n.append(len(gone))
-                new, n = pa.array(new, part.schema.field(text).type), pa.array(n, pa.int64())
-            kept = [new if f == text else part.column(f) for f in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*kept, n], names=[*part.schema.names, told])
-
-    out = joined.mapInArrow(drop, schema)
-    return out.select(*c.cols(docs, removed or ""), c.col(told).alias(removed)) if removed else out.select(*c.cols(docs))
+            if cut.null_count == part.num_rows:  # most slices hold nothing to delete and go on as they are
+                yield {}, [pa.array(np.zeros(part.num_rows, np.int64))], part
+                continue
+            new, n = [], []
+            for t, s in zip(part.column(text).to_pylist(), cut.to_pylist()):
+                lines, real = lines_of(t) if s else ([], [])
+                gone = {real[w["at"] + i] for w in s or () for i in range(w["n"])}
+                new.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+                n.append(len(gone))
+            yield {text: pa.array(new, part.column(text).type)}, [pa.array(n, pa.int64())], part
+
+    out = c.through(joined, drop, f"`{told}` long", key, starts)
+    return out.select(*c.cols(docs, removed or ""), *([c.col(told).alias(removed)] if removed else []))
