@@ -1,9 +1,11 @@
 import hashlib
+import itertools
 import random
 
 import pytest
 
 from loomtrace.llm import mixing, packing, token_cache
+from loomtrace.llm.queries import TREE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, epoch string, _tokens string"
 
@@ -16,31 +18,78 @@ def some(rng, n=200):
     return [(i, " ".join("w" * rng.randint(1, 4) for _ in range(rng.randint(0, 30))), rng.choice(["en", "en", "de", None]), rng.choice(["src0", "src0", "src0", "src1", "src7", "src12", "x", None])) for i in range(n)]
 
 
-def test_fill_gives_shortages_to_siblings():
-    assert mixing.fill(100, [(1, 1000, "a"), (1, 1000, "b")]) == {"a": 50, "b": 50}
-    assert mixing.fill(100, [(1, 10, "a"), (1, 1000, "b"), (2, 1000, "c")]) == {"a": 10, "b": 30, "c": 60}
-    assert mixing.fill(100, [(1, 10, "a"), (1, 20, "b")]) == {"a": 10, "b": 20}
-    assert mixing.fill(100, [(0, 10, "a"), (1, 500, "b")]) == {"a": 0, "b": 100}
-    assert mixing.fill(100, []) == {}
+def fill(budget, children):
+    """``budget`` shared by weight among (weight, capacity, key); what one cannot take goes to its siblings by their weights."""
+    left = sorted((x for x in children if x[0] > 0), key=lambda x: (x[1] / x[0], str(x[2])))
+    out, rest = {k: 0.0 for _, _, k in children}, budget
+    for i, (w, cap, k) in enumerate(left):
+        level = rest / sum(x[0] for x in left[i:])
+        if cap <= level * w:
+            out[k], rest = float(cap), rest - cap
+        else:
+            out |= {k2: level * w2 for w2, _, k2 in left[i:]}
+            break
+    return out
+
+
+def by_recursion(leaves, total, tree=TREE, max_epochs=mixing.MAX_EPOCHS):
+    out = {}
+
+    def at(prefix, share):
+        level, caps = mixing.LEVELS[len(prefix)], {}
+        for path, n in leaves.items():
+            if path[: len(prefix)] == prefix:
+                caps[path[len(prefix)]] = caps.get(path[len(prefix)], 0) + n * max_epochs
+        for k, v in fill(share, [(tree.weights.get(level, {}).get(k, tree.other.get(level, 1.0)), cap, k) for k, cap in caps.items()]).items():
+            if len(prefix) + 1 == len(mixing.LEVELS):
+                out[prefix + (k,)] = int(v + 1e-6)
+            else:
+                at(prefix + (k,), v)
+
+    at((), total)
+    return {k: out.get(k, 0) for k in leaves}
+
+
+def budgets(spark, leaves, total, tree=TREE, max_epochs=mixing.MAX_EPOCHS):
+    df = spark.createDataFrame([(*k, n) for k, n in leaves.items()], "domain string, lang string, source string, n long")
+    return {tuple(r)[:3]: r.budget for r in mixing.budgets(df, total, tree, max_epochs).collect()}
+
 
+def test_siblings_share_by_weight_up_to_their_capacity(spark):
+    flat = mixing.Tree(weights={"source": {"c": 2, "z": 0}})
+    of = lambda **n: {("d", "en", k): v for k, v in n.items()}
+    assert budgets(spark, of(a=1000, b=1000), 100, flat, 1) == of(a=50, b=50)
+    assert budgets(spark, of(a=10, b=1000, c=1000), 100, flat, 1) == of(a=10, b=30, c=60)
+    assert budgets(spark, of(a=10, b=20), 100, flat, 1) == of(a=10, b=20)
+    assert budgets(spark, of(z=10, b=500), 100, flat, 1) == of(z=0, b=100)
+    assert budgets(spark, {("d", "en", "a"): 5, ("d", "de", "z"): 9, ("e", "en", "z"): 9}, 20, flat, 4) == {("d", "en", "a"): 5, ("d", "de", "z"): 0, ("e", "en", "z"): 0}
 
-def test_shortages_reach_siblings_before_ancestors():
+
+def test_shortages_reach_siblings_before_ancestors(spark):
     leaves = {("web", "en", "src0"): 5, ("web", "en", "src1"): 1000, ("web", "de", "src0"): 1000, ("books", "en", "src10"): 1000}
-    got = mixing.budgets(leaves, 700, max_epochs=1)
+    got = budgets(spark, leaves, 700, max_epochs=1)
     # web has 5/7 of 700, English 4/5 of that; src0 lacks 195, which src1 takes
     assert got == {("web", "en", "src0"): 5, ("web", "en", "src1"): 395, ("web", "de", "src0"): 100, ("books", "en", "src10"): 200}
     leaves[("web", "en", "src1")] = 100
     # English has 105 in all, so German takes the rest of web
-    assert mixing.budgets(leaves, 700, max_epochs=1) == {("web", "en", "src0"): 5, ("web", "en", "src1"): 100, ("web", "de", "src0"): 395, ("books", "en", "src10"): 200}
+    assert budgets(spark, leaves, 700, max_epochs=1) == {("web", "en", "src0"): 5, ("web", "en", "src1"): 100, ("web", "de", "src0"): 395, ("books", "en", "src10"): 200}
+
+
+def test_budgets_of_many_leaves_against_recursion(spark):
+    rng = random.Random(5)
+    leaves = {(d, lang, f"s{i}"): rng.choice((0, 1, 7, rng.randint(0, 10_000))) for d in ("web", "forum", "books", "reference", "more") for lang in ("en", "de", "xx") for i in range(rng.choice((1, 5, 200)))}
+    for ratio in (0.1, 0.9, 2.5):
+        total = ratio * sum(leaves.values())
+        assert budgets(spark, leaves, total) == by_recursion(leaves, total)
 
 
 def brute(rows, ratio, max_epochs):
-    leaf = lambda lang, src: (next((d for d, m in mixing.DOMAINS.items() if src in m), "reference"), lang or mixing.NONE, src or mixing.NONE)
+    leaf = lambda lang, src: (next((d for d, m in TREE.domains.items() if src in m), "reference"), lang or mixing.NONE, src or mixing.NONE)
     have = {}
     for i, t, lang, src in rows:
         have.setdefault(leaf(lang, src), []).append((i, t or ""))
     n = {k: sum(len(t.split()) for _, t in v) for k, v in have.items()}
-    budget = mixing.budgets(n, ratio * sum(n.values()), max_epochs=max_epochs)
+    budget = by_recursion(n, ratio * sum(n.values()), max_epochs=max_epochs)
     out = []
     for k, members in have.items():
         full, room = (budget[k] // n[k], budget[k] % n[k]) if n[k] else (0, 0)
@@ -49,11 +98,12 @@ def brute(rows, ratio, max_epochs):
         if room:
             order = sorted((hashlib.md5(f"{mixing.SEED}:{full + 1}:{'' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), i, len(t.split())) for i, t in members)
             used = 0
-            for _, i, size in order:
-                used += size
+            for _, same in itertools.groupby(order, key=lambda x: x[0]):  # rows equal in id and text are drawn together
+                same = list(same)
+                used += sum(size for _, _, size in same)
                 if used > room:
                     break
-                out.append((i, full + 1))
+                out += [(i, full + 1) for _, i, _ in same]
     return sorted(out, key=repr)
 
 
@@ -61,16 +111,23 @@ def brute(rows, ratio, max_epochs):
 def test_mix_against_brute_force(spark, ratio, max_epochs):
     rng = random.Random(1)
     rows = some(rng) + [(500, None, "en", "src0"), (501, "", "en", "src1"), (502, "long word " * 40_000, "de", "src1"), (3, "again", "en", "src7"), (3, "again", "en", "src7")]
-    got = mixing.mix(docs(spark, rows), ratio, max_epochs=max_epochs, with_epoch=True)
+    got = mixing.mix(docs(spark, rows), TREE, ratio, max_epochs=max_epochs, with_epoch=True)
     assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=repr) == brute(rows, ratio, max_epochs)
-    same = mixing.mix(docs(spark, rows), ratio, max_epochs=max_epochs)
+    same = mixing.mix(docs(spark, rows), TREE, ratio, max_epochs=max_epochs)
     assert same.columns == docs(spark, []).columns and same.count() == got.count()
     assert {r.epoch for r in same.collect()} == {"mine"}
 
 
+def test_mix_without_language_and_source(spark):
+    df = spark.createDataFrame([(i, "w " * (i + 1)) for i in range(20)], "doc_id long, text string")
+    got = mixing.mix(df, TREE, 0.5, with_epoch=True).collect()
+    want = brute([(i, "w " * (i + 1), None, None) for i in range(20)], 0.5, mixing.MAX_EPOCHS)
+    assert sorted(((r.doc_id, r.epoch) for r in got), key=repr) == want
+
+
 def test_mix_of_nothing(spark):
-    assert mixing.mix(docs(spark, [])).count() == 0
-    assert mixing.mix(docs(spark, [(1, None, None, None), (2, "", "en", "src0")])).count() == 0
+    assert mixing.mix(docs(spark, []), TREE).count() == 0
+    assert mixing.mix(docs(spark, [(1, None, None, None), (2, "", "en", "src0")]), TREE).count() == 0
 
 
 def naive(pieces, window):
@@ -122,6 +179,14 @@ def test_pack_covers_every_token_once(spark):
     assert packing.pack(docs(spark, [(1, None, None, None)])).count() == 0
 
 
+def test_pack_keeps_large_ids_beside_a_null(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(None, "a b"), (big, "a b c"), (big + 2, "x")], "doc_id long, text string")
+    assert {i for r in packing.pack(df, window=8).collect() for i in r.doc_ids} == {None, big, big + 2}
+    named = spark.createDataFrame([("é", "a b"), (None, "c")], "doc_id string, text string")
+    assert {i for r in packing.pack(named, window=8).collect() for i in r.doc_ids} == {None, "é"}
+
+
 def test_pack_by_a_column_of_lengths(spark):
     df = spark.createDataFrame([(1, 5), (2, 3), (3, None), (4, -2), (5, 8)], "doc_id long, n long")
     got = packing.pack(df, window=8, tokens="n").collect()
