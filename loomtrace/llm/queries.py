@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir, table
+from ..plans import scratch
+from .common import table
+from .mixing import Tree
+
+#: Target weights for the sources of ``documents``.
+TREE = Tree(
+    domains={"web": [f"src{i}" for i in range(5)], "forum": [f"src{i}" for i in range(5, 10)], "books": [f"src{i}" for i in range(10, 15)]},
+    weights={"domain": {"web": 0.5, "forum": 0.2, "books": 0.2, "reference": 0.1}, "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}},
+    other={"domain": 0.05, "lang": 0.05},
+)
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,21 +38,25 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents"), with_epoch=True).select("doc_id", "lang", "source", "epoch")
+    return mixing.mix(table(spark, sf_dir, "documents"), TREE, with_epoch=True).select("doc_id", "lang", "source", "epoch")
 
 
 def op3_mixing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3 with all columns of the drawn rows."""
     from . import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents"), with_epoch=True)
+    return mixing.mix(table(spark, sf_dir, "documents"), TREE, with_epoch=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document. The cache holds the labelled documents' counts from a call before, so that some are found and
+    the others are encoded and appended."""
     from . import token_cache
 
-    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
-    return token_cache.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), cache).select("doc_id", "n_tokens")
+    cache = scratch.folder(spark, "token-cache")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_cache.fill(docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), cache)
+    return token_cache.token_counts(docs, cache).select("doc_id", "n_tokens")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +127,7 @@ def _mixing_sql() -> str:
     from . import mixing
 
     case = lambda column, table, other: "CASE " + column + "".join(f" WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {other!r} END" if table else repr(other)
-    domain = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(x) for x in m)}) THEN '{d}'" for d, m in mixing.DOMAINS.items()) + " ELSE 'reference' END"
+    domain = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(x) for x in m)}) THEN '{d}'" for d, m in TREE.domains.items()) + " ELSE 'reference' END"
     parts = [
         f"""d AS (SELECT doc_id, documents.lang AS own_lang, documents.source AS own_source, {domain} AS domain, coalesce(documents.lang, '(none)') AS lang,
 coalesce(documents.source, '(none)') AS source, len(regexp_extract_all(text, '\\S+'))::DOUBLE AS tok, md5(text) AS digest FROM documents)""",
@@ -129,7 +140,7 @@ coalesce(documents.source, '(none)') AS source, len(regexp_extract_all(text, '\\
         group = ", ".join(keys)
         within = f"PARTITION BY {', '.join(above)}" if above else ""
         join = " AND ".join(f"x.{k} = p.{k}" for k in above) or "true"
-        parts.append(f"x{i} AS (SELECT {group}, sum(n) * {mixing.MAX_EPOCHS} AS cap, {case(level, mixing.WEIGHTS[level], mixing.OTHER[level])} AS w FROM leaves GROUP BY {group})")
+        parts.append(f"x{i} AS (SELECT {group}, sum(n) * {mixing.MAX_EPOCHS} AS cap, {case(level, TREE.weights.get(level, {}), TREE.other.get(level, 1.0))} AS w FROM leaves GROUP BY {group})")
         parts.append(
             f"""y{i} AS (SELECT {', '.join('x.' + k for k in keys)}, x.cap, x.w, p.budget,
 (p.budget - coalesce(sum(x.cap) OVER ({within.replace('BY ', 'BY x.').replace(', ', ', x.')} ORDER BY x.cap / x.w, x.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -138,14 +149,14 @@ coalesce(documents.source, '(none)') AS source, len(regexp_extract_all(text, '\\
         first = f"min(CASE WHEN cap > share * w THEN cap / w END) OVER ({within})"
         parts.append(f"z{i} AS (SELECT *, {first} AS brim FROM y{i})")
         # before the first that isn't full, all are; from it on, its level holds
-        level_at = f"arg_min(CASE WHEN cap > share * w THEN share END, CASE WHEN cap > share * w THEN cap / w END) OVER ({within})"
+        level_at = f"arg_min(CASE WHEN cap > share * w THEN share END, CASE WHEN cap > share * w THEN (cap / w, {level}) END) OVER ({within})"
         parts.append(f"b{i} AS (SELECT {group}, CASE WHEN brim IS NULL OR cap / w < brim THEN cap ELSE w * {level_at} END AS budget FROM z{i})")
         above = keys
     parts += [
         "plan AS (SELECT l.*, floor(b.budget + 1e-6) AS budget FROM leaves l JOIN b3 b USING (domain, lang, source))",
         "p2 AS (SELECT domain, lang, source, CASE WHEN n > 0 THEN floor(budget / n) ELSE 0 END AS whole, CASE WHEN n > 0 THEN budget - floor(budget / n) * n ELSE 0 END AS room FROM plan)",
         f"""r AS (SELECT d.*, p2.whole::BIGINT AS whole, p2.room, sum(tok) OVER (PARTITION BY domain, lang, source
-ORDER BY md5('{mixing.SEED}:' || (p2.whole + 1)::BIGINT || ':' || doc_id || ':' || digest) ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN p2 USING (domain, lang, source))""",
+ORDER BY md5('{mixing.SEED}:' || (p2.whole + 1)::BIGINT || ':' || doc_id || ':' || digest) RANGE UNBOUNDED PRECEDING) AS cum FROM d JOIN p2 USING (domain, lang, source))""",
         "e AS (SELECT doc_id, own_lang AS lang, own_source AS source, whole + CASE WHEN room > 0 AND cum <= room THEN 1 ELSE 0 END AS epochs FROM r)",
     ]
     return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, lang, source, unnest(generate_series(1, epochs)) AS epoch FROM e WHERE epochs > 0"
