@@ -21,24 +21,62 @@ RAW = frozenset(("script", "style", "textarea", "iframe"))
 #: Elements that may stand in a head. Any other, and any text, ends a head that has no end tag.
 META = frozenset("head title meta link base basefont bgsound noframes script style noscript template".split())
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in (*RAW, "title")}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _SPACE = re.compile(r"\s+")
 #: Words and link density of a block and of its neighbours.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
+class _Finder:
+    """Where something next stands in a page: each part of the page is searched once, however often one asks."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def next(self, what, at: int) -> int:
+        """The first place of a text, or of a pattern of _ENDS by its name, at ``at`` or after; -1 if there is none."""
+        asked, found = self.known.get(what, (len(self.page) + 1, -1))
+        if at < asked or -1 < found < at:
+            m = _ENDS[what].search(self.page, at) if what in _ENDS else None
+            found = self.page.find(what, at) if what not in _ENDS else m.start() if m else -1
+            self.known[what] = (at, found)
+        return found
+
+
 def _tags(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], dict[int, int]]:
-    """Tags and comments in order: (start, end, name or "", closes, ends itself), and where silent elements end, by their start.
+    """Tags and comments in order: (start, end, name or "", closes, ends itself), and where silent elements and titles end, by their start.
 
-    Ends belong to the last open element of their name; an element that is never closed has none.
+    Ends belong to the last open element of their name; an element that is never closed has none. A comment without an
+    end hides the rest; a tag without an end is text.
     """
-    out, ends, lost, at = [], {}, set(), 0
+    out, ends, at, find = [], {}, 0, _Finder(page)
     waiting: dict[str, list[int]] = {}
-    while m := _TOKEN.search(page, at):
-        start, at = m.span()
-        tag, close = (m.group(2) or "").lower(), bool(m.group(1))
-        alone = bool(tag) and m.group(3).rstrip().endswith("/")
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        second = page[start + 1 : start + 2]
+        if second in ("!", "?"):
+            if page.startswith("<!--", start):
+                stop = find.next("-->", start + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+            else:
+                stop = find.next("]]>", start) if page.startswith("<![CDATA[", start) else -1
+                stop = stop + 2 if stop >= 0 else find.next(">", start)
+                if stop < 0:
+                    at = start + 1
+                    continue
+                at = stop + 1
+            out.append((start, at, "", False, False))
+            continue
+        m = _TAG.match(page, start) if start < last else None
+        if not m:
+            at = start + 1
+            continue
+        at = m.end()
+        tag, close = m.group(2).lower(), bool(m.group(1))
+        alone = m.group(3).rstrip().endswith("/")
         out.append((start, at, tag, close, alone))
+        if tag == "title" and not close and (stop := find.next(tag, at)) >= 0:
+            ends[start] = stop
         if tag not in SILENT or tag == "head" or alone and not close:
             continue
         if tag not in RAW:
@@ -46,13 +84,11 @@ def _tags(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], dict[int,
                 waiting.setdefault(tag, []).append(start)
             elif waiting.get(tag):
                 ends[waiting[tag].pop()] = start
-        elif not close and tag not in lost:
-            if stop := _ENDS[tag].search(page, at):
-                ends[start] = at = stop.start()
+        elif not close:
+            if (stop := find.next(tag, at)) >= 0:
+                ends[start] = at = stop
             elif tag in ("script", "style"):
                 ends[start] = at = len(page)
-            else:
-                lost.add(tag)
     return out, ends
 
 
@@ -97,9 +133,9 @@ def blocks(page: str | None) -> list[tuple[str, int, float]]:
             text(chunk)
         if not tag:
             continue
-        if tag == "title" and titled and not close and (stop := _ENDS[tag].search(page, at)):
+        if tag == "title" and titled and not close and start in ends:
             end()
-            at = until = stop.start()
+            at = until = ends[start]
             continue
         if head:
             head = tag not in ("head", "body", "html") if close else tag in META
@@ -229,19 +265,15 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text", tree: Tree
     Every page is cut into flat blocks, each described by its own words and link density and its neighbours', and the
     blocks that the tree calls content are joined by line breaks. Works on one row at a time without any shuffle.
 
-    A null page has a null text; an empty page, one without text or one without content has the empty text. Broken
-    markup is read as far as it goes; repeated rows each have their text. An empty table gives an empty table. A column
+    A null page has a null text; an empty page, one without text or one without content has the empty text. Pages of any
+    length are read whole, in time that grows with their length; broken markup is read as far as it goes. Repeated rows each have their
+    text, and a block on whose class the tree's leaf is evenly split (a tie) counts as content. An empty table gives an empty table. A column
     called like ``into`` is replaced; other columns of any name are kept.
     """
     tree = tree or train()
-    (spare,) = c.fresh(pages, into)
-    schema = c.with_type(pages.drop(html), **{spare: "string"})
 
-    def run(batches):
-        for part in c.slices(batches, html):
-            text = [None if p is None else main_text(p, tree) for p in part.column(html).to_pylist()]
-            kept = [f for f in part.schema.names if f != html]
-            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in kept), pa.array(text, pa.string())], names=[*kept, spare])
+    def run(batch):
+        for part in c.slices(batch, html):
+            yield {}, [pa.array([None if p is None else main_text(p, tree) for p in part.column(html).to_pylist()], pa.string())], part
 
-    done = pages.mapInArrow(run, schema)
-    return done.select(*c.cols(done, into, spare), c.col(spare).alias(into))
+    return c.through(pages, run, f"`{into}` string", html)
