@@ -360,12 +360,11 @@ def redact(docs: DataFrame, crf: CRF | None = None, text: str = "text", spans: s
     ``spans`` is replaced; other columns of any name are kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(crf or train())
-    (spare,) = c.fresh(docs, "spans")
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("label", pa.string())]))
-    schema = c.with_type(docs, **{spare: "array<struct<first:int,last:int,label:string>>"})
+    (spare,) = c.fresh(docs, "spans")
 
-    def run(batches):
-        for part in c.slices(batches, text):
+    def run(batch):
+        for part in c.slices(batch, text):
             texts = part.column(text).to_pylist()
             found = held.value.find(texts)
             new = []
@@ -378,8 +377,7 @@ def redact(docs: DataFrame, crf: CRF | None = None, text: str = "text", spans: s
                     t = "".join([*pieces, t[at:]])
                 new.append(t)
             marks = pa.array([[{"first": a, "last": b, "label": n} for a, b, n in f] for f in found], kind)
-            kept = [pa.array(new, part.schema.field(f).type) if f == text else part.column(f) for f in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*kept, marks], names=[*part.schema.names, spare])
+            yield {text: pa.array(new, part.column(text).type)}, [marks], part
 
-    done = docs.mapInArrow(run, schema)
-    return done.select(*c.cols(docs, spans), c.col(spare).alias(spans)) if spans else done.select(*c.cols(docs))
+    done = c.through(docs, run, f"`{spans or spare}` array<struct<first:int,last:int,label:string>>")
+    return done if spans else done.select(*c.cols(docs))

@@ -119,6 +119,21 @@ class MIL:
         return p
 
 
+def gradients(model: MIL, x: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """The loss (weighted mean of log-losses, plus half the decay times the squares of the matrices' weights) and its derivatives by the parameters."""
+    xb, h, tv, su, a, z, size, first, p = model.forward(x, owner)
+    W, b, V, U, w, o, ob = model.params
+    safe = np.clip(p, 1e-12, 1 - 1e-12)
+    loss = -(weight * (y * np.log(safe) + (1 - y) * np.log(1 - safe))).mean() + decay / 2 * sum((m**2).sum() for m in (W, V, U, o))
+    g = weight * (p - y) / len(y)
+    gz = np.repeat(g[:, None] * o, size, axis=0)
+    ga = (gz * h).sum(1)
+    ge = a * (ga - np.repeat(np.add.reduceat(a * ga, first), size))
+    gtv, gsu = ge[:, None] * w * su * (1 - tv**2), ge[:, None] * w * tv * su * (1 - su)
+    gh = (gz * a[:, None] + gtv @ V.T + gsu @ U.T) * (1 - h**2)
+    return loss, [xb.T @ gh + decay * W, gh.sum(0), h.T @ gtv + decay * V, h.T @ gsu + decay * U, (ge[:, None] * tv * su).sum(0), z.T @ g + decay * o, g.sum()]
+
+
 def train(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.01, seed: int = 7, decay: float = 1e-4) -> MIL:
     """Adam on mini-batches of documents; both classes weigh the same. Fixed seed, so the same rows give the same model."""
     x, owner = encode(texts)
@@ -136,16 +151,7 @@ def train(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.0
         for s in range(0, len(y), 64):
             docs = np.sort(order[s : s + 64])
             rows = np.concatenate([np.arange(spans[i], spans[i + 1]) for i in docs])
-            xb, h, tv, su, a, z, size, first, p = model.forward(x[rows], np.repeat(np.arange(len(docs)), spans[docs + 1] - spans[docs]))
-            W, b, V, U, w, o, ob = model.params
-            g = weight[docs] * (p - y[docs]) / len(docs)
-            gz = g[:, None] * o
-            gzr = np.repeat(gz, size, axis=0)
-            ga = (gzr * h).sum(1)
-            ge = a * (ga - np.repeat(np.add.reduceat(a * ga, first), size))
-            gtv, gsu = ge[:, None] * w * su * (1 - tv**2), ge[:, None] * w * tv * su * (1 - su)
-            gh = (gzr * a[:, None] + gtv @ V.T + gsu @ U.T) * (1 - h**2)
-            grads = [xb.T @ gh + decay * W, gh.sum(0), h.T @ gtv + decay * V, h.T @ gsu + decay * U, (ge[:, None] * tv * su).sum(0), z.T @ g + decay * o, g.sum()]
+            _, grads = gradients(model, x[rows], np.repeat(np.arange(len(docs)), spans[docs + 1] - spans[docs]), y[docs], weight[docs], decay)
             t += 1
             lr = rate * (1 if epoch < epochs * 0.7 else 0.2)
             for i, gr in enumerate(grads):
@@ -169,25 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def score(docs: DataFrame, model: MIL | None, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the model's score. A missing model scores 1 for every text with a letter or sign, blank texts 0 always."""
+    """``docs`` with the model's score in the column ``into``, in place of one called so. A missing model scores 1 for every
+    text with a letter or sign, blank texts 0 always. Texts of any length are scored whole, rows each by themselves."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    (spare,) = c.fresh(docs, into)
-    schema = c.with_type(docs, **{spare: "double"})
 
-    def run(batches):
-        for part in c.slices(batches, text):
+    def run(batch):
+        for part in c.slices(batch, text):
             texts = part.column(text).to_pylist()
             p = held.value.score(texts) if held.value else np.array([float(bool((t or "").strip())) for t in texts])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, spare])
+            yield {}, [pa.array(p, pa.float64())], part
 
-    done = docs.mapInArrow(run, schema)
-    return done.select(*c.cols(docs, into), c.col(spare).alias(into))
+    return c.through(docs, run, f"`{into}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``; columns as they came.
 
-    Every row is judged by itself on its whole text, so repeated rows share their fate and ties (a score equal to the
+    Every row is judged by itself on its whole text, however long, so repeated rows share their fate and ties (a score equal to the
     threshold) stay. Null and blank texts score 0 and go. Without usable labels (none, or of one class only) all texts
     that are not blank stay. An empty table gives an empty table.
     """

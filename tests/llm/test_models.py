@@ -1,4 +1,7 @@
+import html.parser
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,9 +104,51 @@ def test_blocks_behind_elements_without_an_end():
     assert found("<svg><svg>gone</svg>gone</svg>one") == ["one"]
     assert found("<textarea><script></textarea>one<p>two") == ["one", "two"]
     assert found("<script>x<p>y") == found("<head><style>x<p>y") == []
+    assert found("<script>var a='<!-- x';</script><p>one") == found("<script>a<!-- b</script>one<script>c</script>") == ["one"]
+    assert found("<![CDATA[ x <p> y ]]><p>one") == found("<!doctype html><?xml x?>one<!-- gone <p>gone") == ["one"]
+    assert found("<p>a<!-- b -->c<p>1 < 2 > 0") == ["ac", "1 < 2 > 0"] and found('<p title="a>b">x') == ["x"]
     assert found("<iframe>" * 20_000 + "one") == found("<select>" * 20_000 + "one") == ["one"]
 
 
+@pytest.mark.parametrize("part", ["<![CDATA[", "<script>", "<script></script>", "<!--", "<", "<a ", '<a b="', "<a b='\"", "<div>", "&", "<svg>", "<svg></svg>", "<head><title>", "<title>", "<!", "<?", "</", "<textarea></textarea>", "word "])
+def test_time_grows_with_the_page(part):
+    def took(n):
+        page = "<head>" + part * (n // len(part))
+        at = time.process_time()
+        html_blocks.blocks(page)
+        return time.process_time() - at
+
+    assert took(800_000) < 12 * took(100_000) + 0.5
+
+
+class Reader(html.parser.HTMLParser):
+    """The text outside silent elements, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in html_blocks.SILENT
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in html_blocks.SILENT
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(data)
+
+
+def test_text_of_all_pages_against_another_parser(spark, sf):
+    pages = [r.html for r in spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/pages.parquet").collect()]
+    assert len(pages) == 250
+    for page in pages:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert "".join("".join(reader.out).split()) == "".join("".join(b[0] for b in html_blocks.blocks(page)).split())
+
+
 def test_tree_on_held_out_pages():
     tree = html_blocks.train()
     pages = html_blocks.labelled_pages(100, seed=99)
@@ -147,11 +192,38 @@ def test_classifier_on_held_out_documents():
 
 def test_gradients_by_finite_differences():
     rng = random.Random(4)
-    x = [good(rng) * rng.randint(1, 3) for _ in range(6)] + [bad(rng) for _ in range(4)]
-    a = quality_mil.train(x, [1] * 6 + [0] * 4, epochs=1)
-    b = quality_mil.train(x, [1] * 6 + [0] * 4, epochs=40)
-    loss = lambda m: -np.log(np.clip(np.where([1] * 6 + [0] * 4, m.score(x), 1 - m.score(x)), 1e-9, 1)).mean()
-    assert loss(b) < 0.5 * loss(a)
+    x = [good(rng) * rng.randint(1, 3) for _ in range(4)] + [bad(rng) for _ in range(3)]
+    y = np.array([1.0] * 4 + [0.0] * 3)
+    model = quality_mil.train(x, y.astype(int).tolist(), epochs=2)
+    coded, owner = quality_mil.encode(x)
+    weight = np.linspace(0.5, 2, 7)
+    loss, grads = quality_mil.gradients(model, coded.astype(np.float64), owner, y, weight, 1e-3)
+    step = 1e-6
+    for n, p in enumerate(model.params):
+        for at in list(np.ndindex(p.shape))[:: max(1, p.size // 9)]:
+            sides = []
+            for sign in (1, -1):
+                moved = [np.array(q, np.float64) for q in model.params]
+                moved[n][at] += sign * step
+                sides.append(quality_mil.gradients(quality_mil.MIL(model.mean, model.scale, moved), coded.astype(np.float64), owner, y, weight, 1e-3)[0])
+            assert grads[n][at] == pytest.approx((sides[0] - sides[1]) / (2 * step), rel=1e-4, abs=1e-7), (n, at)
+
+
+def test_scores_against_loops(spark, sf):
+    """Attention, pooling and score document by document and passage by passage, over all documents."""
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_mil.fit(docs_, spark.read.parquet(f"{sf}/labels.parquet"))
+    W, b, V, U, w, o, ob = model.params
+    got = {r.doc_id: r.score for r in quality_mil.score(docs_, model).collect()}
+    for r in docs_.collect():
+        hidden, drawn = [], []
+        for x in quality_mil.encode([r.text])[0].astype(np.float64):
+            h = np.tanh((x - model.mean) / model.scale @ W + b)
+            hidden.append(h)
+            drawn.append(math.exp(float((np.tanh(h @ V) / (1 + np.exp(-(h @ U)))) @ w)))
+        z = sum(a * h for a, h in zip(drawn, hidden)) / sum(drawn)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-float(z @ o + ob))), abs=1e-5)
+    assert len(got) == docs_.count()
 
 
 def test_scores_do_not_depend_on_the_batch():
