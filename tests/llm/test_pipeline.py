@@ -1,7 +1,6 @@
-import numpy as np
-
 import corpus_pipeline
 from loomtrace.llm import mixing, packing, quality_mil, queries, simhash
+from test_dedup import brute_groups
 from test_mixing import brute
 
 
@@ -29,21 +28,8 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         first.setdefault(rows[i].text, i)
     assert sorted(r.doc_id for r in kept[1].collect()) == sorted(first.values())
     order = sorted(first.values())
-    sigs = [np.frombuffer(s, np.uint16) for s in simhash.signatures([rows[i].text for i in order])]
-    parent = list(range(len(order)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(order)):
-        for j in range(i):
-            apart = np.bitwise_count(sigs[i] ^ sigs[j])
-            if apart.sum() <= simhash.DISTANCE and apart.min() <= 1:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    assert sorted(r.doc_id for r in kept[2].collect()) == sorted({order[root(i)] for i in range(len(order))})
+    root = brute_groups(simhash.signatures([rows[i].text for i in order]), simhash.DISTANCE)
+    assert sorted(r.doc_id for r in kept[2].collect()) == sorted({order[i] for i in root})
     near = {r.doc_id for r in kept[2].collect()}
     mixed = kept[3].collect()
     assert {r.doc_id for r in mixed} <= near
