@@ -176,6 +176,8 @@ class CRF:
         for i in np.flatnonzero(best).tolist():
             o, a, b, name = int(owner[i]), int(begin[i]), int(end[i]), LABELS[best[i]]
             word = filled[o][a:b]
+            if not _possible(name, word):
+                continue
             a, b = _core(word, a, name)
             if previous == i - 1 and out[o] and out[o][-1][2] == name and name in ("PHONE", "CARD") and int(owner[i - 1]) == o and _joins(name, filled[o][out[o][-1][0] : b]):
                 out[o][-1] = (out[o][-1][0], b, name)
@@ -185,6 +187,15 @@ class CRF:
         return out
 
 
+def _possible(name: str, word: str) -> bool:
+    """Whether a word can be what its label says; shapes alone don't tell the size of a number or which letters stand in a word."""
+    if name == "IP":
+        return all(int(n) <= 255 for n in re.findall(r"[0-9]+", word))
+    if name == "EMAIL":
+        return "@" in word and "://" not in word
+    return name == "SECRET" or any(ch.isdigit() for ch in word)
+
+
 def _joins(name: str, surface: str) -> bool:
     """Whether words side by side are one number: as many digits as one such number has."""
     return sum(ch.isdigit() for ch in surface) <= (15 if name == "PHONE" else 19)
@@ -352,7 +363,7 @@ def redact(docs: DataFrame, crf: CRF | None = None, text: str = "text", spans: s
     """``docs`` with personal data and secrets in ``text`` replaced by ``<LABEL>``; ``spans`` lists what was found.
 
     Words between white space are labelled by the field, trained by the driver on a small table and broadcast. Whole
-    texts are decoded by exact Viterbi paths, in Arrow batches, without any shuffle. ``spans`` holds (first position, last
+    texts are decoded by exact Viterbi paths, a word's own signs then rule out labels that it can't have, in Arrow batches, without any shuffle. ``spans`` holds (first position, last
     exclusive, label) in the given text; None leaves the column out.
 
     A null text stays null, an empty or blank one as it is, both with no spans; repeated rows are treated alike; ties of
