@@ -49,14 +49,14 @@ def op3_mixing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document. The cache holds the labelled documents' counts from a call before, so that some are found and
+    """Tokens of every document. The cache holds the English documents' counts from a call before, so that these are found and
     the others are encoded and appended."""
     from . import token_cache
 
     cache = scratch.folder(spark, "token-cache")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    token_cache.fill(docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), cache)
-    return token_cache.token_counts(docs, cache).select("doc_id", "n_tokens")
+    docs = table(spark, sf_dir, "documents")
+    token_cache.fill(docs.where("lang = 'en'").select("text"), cache)
+    return token_cache.token_counts(docs.select("doc_id", "text"), cache).select("doc_id", "n_tokens")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

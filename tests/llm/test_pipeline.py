@@ -57,3 +57,19 @@ def test_queries_of_kept_rows_have_all_columns(spark, sf):
         assert {tuple(r) for r in got.collect()} <= whole
     assert queries.MORE["op3_mixing_rows"](spark, sf).columns == [*docs.columns, "epoch"]
     assert queries.MORE["op1_embedding_dedup_rows"](spark, sf).columns == spark.read.parquet(f"{sf}/embeddings.parquet").columns
+
+
+def test_token_query_finds_appends_and_counts_all(spark, sf, monkeypatch):
+    """Of the cache that the query leaves: the English texts came first, the others were appended, and every count is the tokenizer's."""
+    from loomtrace.llm import token_cache
+
+    calls, real = [], token_cache.fill
+    monkeypatch.setattr(token_cache, "fill", lambda docs, cache, *a, **k: (real(docs, cache, *a, **k), calls.append((cache, spark.read.parquet(cache).count()))))
+    got = {r.doc_id: r.n_tokens for r in queries.QUERIES["op4_token_counts"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    normal = lambda t: t.replace("\r\n", "\n").replace("\r", "\n").strip(" \t\n")
+    english, every = ({normal(r.text) for r in docs if all_ or r.lang == "en"} for all_ in (False, True))
+    assert [n for _, n in calls] == [len(english), len(every)] and 0 < len(english) < len(every)
+    with open(token_cache.RANKS, "rb") as f:
+        enc = token_cache.encoder(f.read(), token_cache.PATTERN)
+    assert got == {r.doc_id: len(enc.encode_ordinary(normal(r.text))) for r in docs}
