@@ -97,8 +97,8 @@ def same_file(path: Column, target: str) -> Column:
 
 
 def parse_query(query: str) -> list[list[str]]:
-    """Alternatives between ``|``, each the lower-case words that all have to occur; blank alternatives are dropped."""
-    return [words for part in query.split("|") if (words := part.lower().split())]
+    r"""Alternatives between ``\|``, each the lower-case words that all have to occur; blank alternatives are dropped. A bare ``|`` is a sign like any other."""
+    return [words for part in query.split(r"\|") if (words := part.lower().split())]
 
 
 def matches(text: Column, clauses: list[list[str]]) -> Column:

@@ -1,21 +1,27 @@
 """An inverted index over steps: whole words, phrases and BM25, kept as Parquet.
 
-Layout of an index folder: ``docs`` (doc, path, step_id, n tokens), ``postings`` (term, doc, positions), partitioned by a
-hash of the term so that a query reads the buckets of its own words only, and ``records`` (path, mtime) for the
-incremental build.
+Layout of an index folder: ``docs`` (path, step_id, content), ``postings`` (term, path, step_id, n tokens of the step, tf, positions),
+partitioned by a hash of the term so that a query reads the buckets of its own words only, and ``records`` (path, mtime,
+docs, tokens), partitioned by generation, for the incremental build and the sums that BM25 needs. ``buckets=N`` names
+the number of buckets.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans import scratch
 from . import search
 
-BUCKETS = 64
+#: Buckets of terms, and parts by path into which each is cut, so that no word is one task. More for larger corpora.
+BUCKETS, PARTS = 64, 4
 K1, B = 1.2, 0.75
 
 
@@ -108,98 +114,190 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _ls(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _layout(spark: SparkSession, folder: str) -> int:
+    return next((int(n.split("=")[1]) for n in _ls(spark, folder) if n.startswith("buckets=")), BUCKETS)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(records: DataFrame, steps: DataFrame, folder: str, force: bool = False) -> tuple[int, int]:
+def stale(records: DataFrame, folder: str, force: bool = False) -> DataFrame:
+    """(path, mtime) of those records that are new or changed since the index was built; all of them with ``force``."""
+    now = records.select("path", F.coalesce(F.col("mtime").cast("double"), F.lit(0.0)).alias("mtime"))
+    if force or not _exists(records.sparkSession, f"{folder}/records"):
+        return now
+    return now.join(latest(records.sparkSession, folder).where("mtime <> 0").select("path", "mtime"), ["path", "mtime"], "left_anti")
+
+
+def _postings(batches):
+    """Rows (path, step_id, toks) to one row for each word of each step. A word's places are told apart by sorting numbers, batch by batch."""
+    for b in batches:
+        lists = b.column("toks")
+        size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten().dictionary_encode()
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((pos, code, row))
+        row, code, pos = row[order], code[order], pos[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
+        ends = np.concatenate((first, [len(row)])).astype(np.int32)
+        at = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays(
+            [flat.dictionary.take(pa.array(code[first])), b.column("path").take(at), b.column("step_id").take(at), pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))],
+            ["term", "path", "step_id", "n", "tf", "positions"],
+        )
+
+
+def build(records: DataFrame, steps: DataFrame, folder: str, force: bool = False, buckets: int = BUCKETS, parts: int = PARTS) -> tuple[int, int]:
     """Index the steps of ``records(path, mtime, ...)`` that are new or changed; (indexed, skipped).
 
     A record is skipped if its time is known and the same as before. Sessions that vanished stay in the index. Each
     build appends a generation; reading takes each session's latest, so that nothing is rewritten in place and a build
-    that fails leaves the index as it was: the generation counts once its ``records`` are written, last.
+    that fails leaves the index as it was: the generation counts once its ``records`` are written, last. Texts are cut into
+    words once; what is shuffled are postings, once, by bucket and part.
     """
     spark = records.sparkSession
-    now = records.select("path", F.coalesce(F.col("mtime").cast("double"), F.lit(0.0)).alias("mtime"))
-    generation = 0
-    todo = now
-    if _exists(spark, f"{folder}/records"):
-        old = latest(spark, folder)
-        generation = old.agg(F.max("generation")).first()[0] + 1
-        if not force:
-            same = old.where("mtime <> 0").select("path", "mtime")
-            todo = now.join(same, ["path", "mtime"], "left_anti")
-    todo = todo.withColumn("generation", F.lit(generation))
-    n, total = todo.count(), now.count()
+    todo = scratch.keep(stale(records, folder, force), "todo")
+    done = [int(n.split("=")[1]) for n in _ls(spark, f"{folder}/records") if n.startswith("generation=")]
+    generation = max(done, default=-1) + 1
+    n, total = todo.count(), records.count()
     if n:
-        docs = steps.join(todo.select("path"), "path", "left_semi").select("path", "step_id", search.blobs().alias("parts"))
-        docs = docs.withColumn("content", F.array_join("parts", "\n")).where(~text.is_blank(F.col("content")))
-        docs = docs.select("path", "step_id", "content", tokens(F.col("content")).alias("toks"), F.lit(generation).alias("generation"))
-        docs.select("path", "step_id", "generation", "content", F.size("toks").alias("n")).write.mode("append").parquet(f"{folder}/docs")
-        post = docs.select("path", "step_id", "generation", F.posexplode("toks").alias("pos", "term"))
-        post = post.groupBy("term", "path", "step_id", "generation").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("bucket", _bucket(F.col("term")))
-        post.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
-        todo.write.mode("append").parquet(f"{folder}/records")
+        buckets = _layout(spark, folder) if done else buckets
+        docs = steps.join(todo.select("path"), "path", "left_semi").select("path", "step_id", F.array_join(search.blobs(), "\n").alias("content")).where(~text.is_blank(F.col("content")))
+        docs.withColumn("generation", F.lit(generation)).write.mode("append").parquet(f"{folder}/docs")
+        own = spark.read.parquet(f"{folder}/docs").where(F.col("generation") == generation)
+        toks = scratch.keep(own.select("path", "step_id", tokens(F.col("content")).alias("toks")), "tokens")
+        post = toks.mapInArrow(_postings, f"term string, path string, step_id {steps.schema['step_id'].dataType.simpleString()}, n int, tf int, positions array<int>")
+        post = post.withColumns({"generation": F.lit(generation), "bucket": _bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("path"), F.lit(parts))})
+        post = post.repartition(buckets * parts, "bucket", "part").drop("part").sortWithinPartitions("bucket", "term")
+        post.write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
+        sizes = toks.groupBy("path").agg(F.count("*").alias("docs"), F.sum(F.size("toks")).alias("tokens"))
+        told = todo.join(sizes, "path", "left").select("path", "mtime", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("docs", "tokens")))
+        if not done:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/buckets={buckets}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+        told.write.parquet(f"{folder}/records/generation={generation}")
+        scratch.drop(toks)
+    scratch.drop(todo)
     return n, total - n
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, generation, mtime) of each indexed session."""
-    return spark.read.parquet(f"{folder}/records").groupBy("path").agg(F.max("generation").alias("generation"), F.max_by("mtime", "generation").alias("mtime"))
-
+    """(path, generation, mtime, docs, tokens) of each indexed session."""
+    read = spark.read.parquet(f"{folder}/records")
+    if len(_ls(spark, f"{folder}/records")) == 1:
+        return read
+    last = read.groupBy("path").agg(F.max_by(F.struct("generation", "mtime", "docs", "tokens"), "generation").alias("r"))
+    return last.select("path", "r.*")
 
-def lookup(spark: SparkSession, folder: str, query: str) -> DataFrame:
-    """Every matching step of an index: path, step_id, rank, snippet. Whole words and phrases, without case and accents.
 
-    Reads the posting buckets of the query's words only. Phrases are joined by positions within a document.
-    """
+def _scored(spark: SparkSession, folder: str, query: str) -> DataFrame | None:
+    """(path, step_id, generation, rank) of matching steps; None where the query has no word."""
     if not _exists(spark, f"{folder}/records"):
         raise FileNotFoundError(f"there is no index in {folder}; build it first")
-    clauses = query_phrases(spark, query)
-    clauses = [c for c in clauses if c and all(c)]  # a word without any token is found nowhere
+    clauses = [c for c in query_phrases(spark, query) if c and all(c)]  # a word without any token is found nowhere
     phrases = [p for p in dict.fromkeys(tuple(p) for c in clauses for p in c)]
-    now = latest(spark, folder).select("path", "generation")
-    docs = spark.read.parquet(f"{folder}/docs").join(now, ["path", "generation"])
-    empty = docs.where("false").select("path", "step_id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet"))
     if not phrases:
-        return empty
+        return None
     terms = sorted({t for p in phrases for t in p})
-    held = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()
-    post = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin([r[0] for r in held]) & F.col("term").isin(terms)).join(now, ["path", "generation"])
-    spots = post.groupBy("path", "step_id", "generation").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    counts = {}
-    for i, p in enumerate(phrases):
-        starts = F.coalesce(F.col("at")[p[0]], F.array().cast("array<int>"))
-        for k, t in enumerate(p[1:], 1):
-            starts = F.array_intersect(starts, _shift(F.coalesce(F.col("at")[t], F.array().cast("array<int>")), k))
-        counts[f"_c{i}"] = F.size(starts)
-    rows = spots.withColumns(counts).drop("at")
-    sums = docs.agg(F.count("*").alias("_rows"), F.avg("n").alias("_avg"))
-    per = rows.agg(*(F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))))
+    buckets = _layout(spark, folder)
+    held = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), buckets)).distinct().collect()
+    now = latest(spark, folder)
+    post = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin([r[0] for r in held]) & F.col("term").isin(terms))
+    if len(_ls(spark, f"{folder}/records")) > 1:  # one generation holds no outdated step
+        post = post.join(now.select("path", "generation"), ["path", "generation"])
+    keys = ["path", "step_id", "generation"]
+    if len(terms) == 1 and len(phrases[0]) == 1:
+        rows = post.select(*keys, "n", F.col("tf").alias("_c0"))
+    else:
+        of = lambda column, t: F.max(F.when(F.col("term") == t, F.col(column)))
+        chained = sorted({t for p in phrases if len(p) > 1 for t in p})
+        name = {t: f"_p{i}" for i, t in enumerate(chained)}
+        met = post.groupBy(*keys).agg(F.max("n").alias("n"), *(of("tf", p[0]).alias(f"_c{i}") for i, p in enumerate(phrases) if len(p) == 1), *(of("positions", t).alias(name[t]) for t in chained))
+        places = lambda t: F.coalesce(F.col(name[t]), F.array().cast("array<int>"))
+        counts = {}
+        for i, p in enumerate(phrases):
+            if len(p) == 1:
+                counts[f"_c{i}"] = F.coalesce(F.col(f"_c{i}"), F.lit(0))
+                continue
+            starts = places(p[0])
+            for k, t in enumerate(p[1:], 1):
+                starts = F.array_intersect(starts, _shift(places(t), k))
+            counts[f"_c{i}"] = F.size(starts)
+        rows = met.withColumns(counts).select(*keys, "n", *counts)
+    sums = now.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).first()
+    per = rows.agg(*(F.count_if(F.col(f"_c{i}") > 0) for i in range(len(phrases)))).first()
+    total, mean = sums.docs or 0, (sums.tokens or 0) / max(1, sums.docs or 0)
     number = {p: i for i, p in enumerate(phrases)}
     ids = [[number[tuple(p)] for p in c] for c in clauses]
     match, holds = _live({i: F.col(f"_c{i}") for i in range(len(phrases))}, ids)
-    both = rows.where(match).join(docs, ["path", "step_id", "generation"]).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(per))  # a row each
     score = F.lit(0.0)
     for c, ok in zip(ids, holds):
         for i in c:
-            idf = F.log((F.col("_rows") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
+            idf = float(np.log((total - per[i] + 0.5) / (per[i] + 0.5)))
             f = F.col(f"_c{i}").cast("double")
-            score = score + F.when(ok, F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("_avg")))).otherwise(0.0)
+            score = score + F.when(ok, F.lit(idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / mean))).otherwise(0.0)
+    return rows.where(match).select(*keys, (-score).alias("rank"))
+
+
+def lookup(spark: SparkSession, folder: str, query: str, limit: int | None = None, snippets: bool = True) -> DataFrame:
+    """Every matching step of an index, best first: path, step_id, rank, snippet. Whole words and phrases, without case and accents.
+
+    Reads the posting buckets of the query's words only; a phrase is found by the positions of its words. Scores need no
+    other table. Contents are read for snippets alone, and with ``limit`` for so many rows only.
+    """
+    hits = _scored(spark, folder, query)
+    if hits is None:
+        return spark.read.parquet(f"{folder}/docs").where("false").select("path", "step_id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet"))
+    order = ["rank", "path", "step_id"]
+    if limit is not None:
+        hits = hits.orderBy(*order).limit(limit)
+    if not snippets:
+        return hits.select(*order).orderBy(*order)
+    docs = spark.read.parquet(f"{folder}/docs").select("path", "step_id", "generation", "content")
     words = search.words_of(text.parse_query(query))
-    return both.select("path", "step_id", (-score).alias("rank"), text.snippet(F.col("content"), words).alias("snippet")).orderBy("rank", "path", "step_id")
+    return hits.join(docs, ["path", "step_id", "generation"]).select("path", "step_id", "rank", text.snippet(F.col("content"), words).alias("snippet")).orderBy(*order)
 
 
 def _shift(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda x: x - by)
 
 
-def candidates(docs: DataFrame, query: str, key: str, content: str, limit: int = search.CANDIDATES) -> DataFrame:
-    """Rows whose words match best, ``limit`` of them, and of those the ones that hold the query as substrings.
+def best(hits: DataFrame, limit: int = search.CANDIDATES) -> DataFrame:
+    """(path, rank) of the ``limit`` sessions whose best step ranks first; ranks equal to nine places go by path."""
+    return hits.groupBy("path").agg(F.round(F.min("rank"), 9).alias("rank")).orderBy("rank", "path").limit(limit)
+
 
-    The limit is what this backend is: a cap on candidates that keeps a search short. ``grep`` looks at everything.
+def capped(hits: DataFrame, records: DataFrame, steps: DataFrame, query: str, limit: int = search.CANDIDATES) -> DataFrame:
+    """The substring search in the steps of the ``limit`` best sessions of a ranked search, ``hits(path, rank, ...)``.
+
+    The limit is what this backend is: a cap on candidates that keeps a search short. ``grep`` looks at everything. First
+    messages by themselves don't count. Records without a file, which an outside index can't hold, are searched
+    all, but for those whose file is a candidate already.
     """
-    clauses = query_phrases(docs.sparkSession, query)
-    clauses = [c for c in clauses if c and all(c)]
-    best = rank(docs.withColumn("toks", tokens(F.col(content))), clauses).drop("toks").orderBy("rank", key).limit(limit)
-    return best.where(text.matches(F.col(content), text.parse_query(query)))
+    top = F.broadcast(best(hits, limit).select("path"))  # ``limit`` rows
+    stored = records.where(F.col("session_id").isNotNull()) if "session_id" in records.columns else records.where("false")
+    if "source" in records.columns:
+        stored = stored.join(top.select(F.col("path").alias("_rollout")), F.try_element_at("source", F.lit("rollout_path")) == F.col("_rollout"), "left_anti")
+    mine = records.join(top, "path", "left_semi").unionByName(stored.join(top, "path", "left_anti"))
+    some = steps.join(mine.select("path"), "path", "left_semi") if "session_id" in records.columns else steps.join(top, "path", "left_semi")
+    return search.grep(mine.withColumn("first_msg", F.lit("")), some, query)
+
+
+@search.register("index", "sqlite")
+def _index(corpus: search.Corpus, query: str) -> DataFrame:
+    hits = lookup(corpus.spark, corpus.folder, query)
+    return hits.join(corpus.records.drop("mtime"), "path").orderBy("rank", "path", "step_id")
+
+
+@search.register("candidates", "recoll")
+def _candidates(corpus: search.Corpus, query: str) -> DataFrame:
+    return capped(lookup(corpus.spark, corpus.folder, query, snippets=False), corpus.records, corpus.steps, query)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -13,7 +14,7 @@ from ..functions import text
 CANDIDATES = 200
 
 
-def blobs(step: DataFrame | None = None) -> Column:
+def blobs() -> Column:
     """The texts of a step that are searched: message, reasoning, each call's arguments, each result. Names of functions are not."""
     some = F.array(F.col("message"), F.col("reasoning_content"))
     some = F.concat(some, F.coalesce(F.transform("tool_calls", lambda x: x.arguments_json), F.array().cast("array<string>")))
@@ -45,8 +46,9 @@ def grep(records: DataFrame, steps: DataFrame, query: str) -> DataFrame:
     late = records.where(~text.matches(F.coalesce("first_msg", F.lit("")), clauses))
     parts = steps.select("path", "step_id", blobs().alias("parts"))
     found = parts.withColumn("joined", F.array_join("parts", " ")).where(text.matches(F.col("joined"), clauses))
-    first = found.groupBy("path").agg(F.min(F.struct("step_id", "parts", "joined")).alias("s"))
-    first = first.select("path", F.col("s.step_id").alias("step_id"), blob_snippet(F.col("s.parts"), F.col("s.joined"), clauses).alias("snippet"))
+    # snippets are cut where the steps lie: whole texts are never shuffled
+    cut = found.select("path", F.struct("step_id", blob_snippet(F.col("parts"), F.col("joined"), clauses).alias("snippet")).alias("s"))
+    first = cut.groupBy("path").agg(F.min("s").alias("s")).select("path", "s.step_id", "s.snippet")
     return newest(early.unionByName(late.join(first, "path")))
 
 
@@ -87,8 +89,32 @@ def jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     return n.agg(F.count_if(F.col("n") == 2).alias("shared"), F.count("*").alias("either")).select("shared", "either", F.when(F.col("either") == 0, 1.0).otherwise(F.col("shared") / F.col("either")).alias("jaccard"))
 
 
-Backend = Callable[[DataFrame, DataFrame, str], DataFrame]
-BACKENDS: dict[str, Backend] = {"grep": grep}
+@dataclass
+class Corpus:
+    """What a backend may search: all records, their steps (read when asked for), and the folder of an index."""
+
+    spark: SparkSession
+    records: DataFrame
+    read_steps: Callable[[], DataFrame]
+    folder: str | None = None
+
+    @property
+    def steps(self) -> DataFrame:
+        return self.read_steps()
+
+
+Backend = Callable[[Corpus, str], DataFrame]
+BACKENDS: dict[str, Backend] = {}
+
+
+def register(*names: str) -> Callable[[Backend], Backend]:
+    """Make a function from a corpus and a query to matches a backend under these names."""
+
+    def add(f: Backend) -> Backend:
+        BACKENDS.update(dict.fromkeys(names, f))
+        return f
+
+    return add
 
 
 def backend(name: str) -> Backend:
@@ -97,5 +123,11 @@ def backend(name: str) -> Backend:
     return BACKENDS[name]
 
 
-def first_of_group(rows: DataFrame, group: str, *order: Column) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_n = 1").drop("_n")
+@register("grep")
+def _grep(corpus: Corpus, query: str) -> DataFrame:
+    return grep(corpus.records, corpus.steps, query)
+
+
+@register("fast")
+def _fast(corpus: Corpus, query: str) -> DataFrame:
+    return fast(corpus.records, query)

@@ -21,7 +21,7 @@ def test_grep_takes_the_first_step_and_the_first_message(spark):
     step = steps_df(spark, [("/a", 5, "hello"), ("/b", 1, "no"), ("/b", 2, "x", [("i", "hello_tool", '{"q": "say hello"}')]), ("/b", 3, "hello"), ("/c", 1, "z", None, [("i", "HELLO there")]), ("/d", 1, "z", [("i", "hello", "{}")])])
     got = [(r.id, r.step_id, r.snippet) for r in search.grep(rec, step, "hello").collect()]
     assert got == [("b", 2, '{"q": "say hello"}'), ("c", 1, "HELLO there"), ("a", 1, "say Hello")]
-    assert search.grep(rec, step, " | ").count() == 0
+    assert search.grep(rec, step, r" \| ").count() == 0
     # words of one alternative may stand in different texts of a step; the snippet is of the first text that holds any
     both = search.grep(rec, steps_df(spark, [("/d", 1, "left", None, [("i", "right")])]), "right left").collect()
     assert [(r.id, r.snippet) for r in both] == [("d", "left")]
@@ -29,7 +29,7 @@ def test_grep_takes_the_first_step_and_the_first_message(spark):
 
 def test_fast_and_lists(spark):
     rec = records_df(spark, [("cl-1", "2026-01-02T", "fix", "/a"), ("cl-2", "2026-01-01T", "other", "/b"), ("cl-3", "1700000000000", "fix", "/c"), ("cl-4", "2026-01-02T", "fix", "/d")])
-    assert [r.id for r in search.fast(rec, "FIX|cl-2").collect()] == ["cl-1", "cl-4", "cl-2", "cl-3"]
+    assert [r.id for r in search.fast(rec, r"FIX\|cl-2").collect()] == ["cl-1", "cl-4", "cl-2", "cl-3"]
     assert [r.id for r in search.list_records(rec, since="2026-01-02").collect()] == ["cl-1", "cl-4"]
     assert [r.id for r in search.list_records(rec, date="2026-01-01").collect()] == ["cl-2"]
     df = search.list_records(rec)
@@ -58,7 +58,7 @@ def built(spark, tmp_path_factory):
     return folder, rec, step
 
 
-@pytest.mark.parametrize("query,paths", [("unique_alpha_word", ["/0"]), ("unique_alpha_word|unique_beta_word", ["/0", "/1"]), ("alpha_beta", ["/5"]), ("cafe", ["/3"]), ("CAFÉ python", ["/3"]), ("python", ["/3", "/4"]), ("--", []), ("", []), ("python --", []), ("--|python3", ["/3"]), ("nowhere", [])])
+@pytest.mark.parametrize("query,paths", [("unique_alpha_word", ["/0"]), (r"unique_alpha_word\|unique_beta_word", ["/0", "/1"]), ("alpha_beta", ["/5"]), ("cafe", ["/3"]), ("CAFÉ python", ["/3"]), ("python", ["/3", "/4"]), ("--", []), ("", []), ("python --", []), (r"--\|python3", ["/3"]), ("nowhere", [])])
 def test_index_lookup(spark, built, query, paths):
     folder, _, step = built
     got = index.lookup(spark, folder, query).collect()
@@ -114,10 +114,28 @@ def test_ranks_are_bm25_of_alternatives_that_hold(spark):
     assert got == pytest.approx(bm25(docs, [["a", "b"], ["h"]]), abs=1e-9)
 
 
-def test_candidates_are_capped(spark):
-    df = spark.createDataFrame([(i, "needle " * (i % 7 + 1)) for i in range(300)], "k int, t string")
-    assert index.candidates(df, "needle", "k", "t").count() == 200
-    assert index.candidates(df, "needle", "k", "t", 5).count() == 5 and index.candidates(df, "need", "k", "t").count() == 0
+def test_candidates_are_the_best_sessions(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    docs = [[rng.choice(("needle", "pin", *"abcdefg")) for _ in range(rng.randint(3, 60))] for _ in range(320)]
+    rec = records_df(spark, [(f"r{i}", str(i), "", f"/{i:03}") for i in range(len(docs))])
+    step = steps_df(spark, [(f"/{i:03}", 1, " ".join(d)) for i, d in enumerate(docs)] + [(f"/{i:03}", 2, "pin") for i in range(0, 320, 2)])
+    folder = f"file://{tmp_path}/i"
+    index.build(rec, step, folder, buckets=5, parts=2)
+    rows = docs + [["pin"]] * 160
+    ranks = {}
+    for row, r in bm25(rows, [["needle"], ["pin", "a"]]).items():
+        path = row if row < 320 else (row - 320) * 2
+        ranks[path] = min(ranks.get(path, 0), r)
+    assert len(ranks) > 250
+    query = r"needle\|pin a"
+    hits = index.lookup(spark, folder, query, snippets=False)
+    want = [f"/{i:03}" for i in sorted(ranks, key=lambda i: (round(ranks[i], 9), i))]
+    for limit in (5, 200):
+        assert [r.path for r in index.best(hits, limit).collect()] == want[:limit]
+        assert sorted(r.path for r in index.capped(hits, rec, step, query, limit).collect()) == sorted(want[:limit])
+    assert [r.path for r in index.lookup(spark, folder, query, limit=7).collect()] == [r.path for r in index.lookup(spark, folder, query).collect()][:7]
 
 
 @pytest.mark.parametrize("name,args,want", [
