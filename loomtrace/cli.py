@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import records, render, search
+from .operators import analytics, records, render, search
 from .plans.lake import Lake
 
 INDEX = "~/.cache/loomtrace/index"
@@ -87,17 +87,17 @@ def cmd_search(spark, args) -> str:
     return _rows(df, *cells, args=args, head=_table("ID", "Agent", "Date", "Step", "Match"), unit="results", foot=HINT)
 
 
-def _found(spark, args) -> tuple[Lake, dict, dict | None]:
+def _found(spark, args) -> tuple[Lake, dict, DataFrame, dict | None]:
+    """The record asked for, its steps and its trajectory. Of all sessions only this one is parsed."""
     lake = Lake(spark, args.home)
     rec = _one(lake.find(args.id))
     if rec is None:
         raise LookupError(args.id)
-    return lake, rec, _one(lake.trajectories.where(F.col("path") == rec["path"]))
+    return lake, rec, *lake.one(rec)
 
 
 def cmd_show(spark, args) -> str:
-    lake, rec, traj = _found(spark, args)
-    mine = lake.steps.where(F.col("path") == rec["path"])
+    lake, rec, mine, traj = _found(spark, args)
     if args.html:
         one = lake.records.where(F.col("path") == rec["path"]).limit(1)
         return render.documents(one, mine, args.full).first().html
@@ -112,7 +112,7 @@ def cmd_show(spark, args) -> str:
 
 def cmd_info(spark, args) -> str:
     try:
-        _, rec, traj = _found(spark, args)
+        _, rec, _, traj = _found(spark, args)
     except LookupError:
         print(json.dumps({"error": f"trajectory `{args.id}` not found"}, indent=2))
         raise SystemExit(1) from None
@@ -168,10 +168,10 @@ def cmd_tools(spark, args) -> str:
         args.dir = os.path.realpath(args.dir)
         df, scope, label = Lake(spark, args.home, args.dir).programs(), {"type": "dir", "path": args.dir}, f"all trajectories in `{args.dir}`"
     else:
-        lake, rec, traj = _found(spark, args)
+        _, _, mine, traj = _found(spark, args)
         if traj is None:
             raise ValueError(f"trajectory `{args.id}` cannot be parsed")
-        df, scope, label = lake.programs(rec["path"]), {"type": "id", "id": args.id}, f"`{args.id}`"
+        df, scope, label = analytics.session_programs(mine), {"type": "id", "id": args.id}, f"`{args.id}`"
     got = [{"program": r["program"], "count": r["count"]} for r in df.collect()]
     if args.json:
         return json.dumps({"scope": scope, "programs": got}, indent=2)
@@ -181,6 +181,9 @@ def cmd_tools(spark, args) -> str:
 
 
 def cmd_refresh(spark, args) -> str:
+    """One index serves both ranked backends, so it is built unless every reason to build it is ruled out; it needs no configuration."""
+    if args.config_only or (args.no_recoll and args.no_sqlite):
+        return "Nothing to index."
     done, passed = Lake(spark, args.home).refresh(os.path.expanduser(args.index), args.force)
     return f"Indexed {done} session(s), skipped {passed} unchanged."
 
@@ -211,7 +214,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dir")
     p.add_argument("--fast", action="store_true")
     p.add_argument("--content", "--grep", action="store_true", help="has no effect any more")
-    p.add_argument("--backend", choices=("grep", "index", "candidates"), default="grep")
+    p.add_argument("--backend", choices=("grep", "index", "sqlite", "candidates", "recoll"), default="grep", help="sqlite is index, recoll is candidates")
     p.add_argument("--index", default=INDEX)
     p = command("show", cmd_show, paged=20)
     p.add_argument("id")
@@ -232,6 +235,8 @@ def parser() -> argparse.ArgumentParser:
     which.add_argument("--dir")
     p.add_argument("--json", action="store_true")
     p = command("refresh", cmd_refresh)
+    for flag, what in (("--config-only", "don't index"), ("--no-recoll", "don't build for candidates"), ("--no-sqlite", "don't build for index")):
+        p.add_argument(flag, action="store_true", help=what)
     p.add_argument("--force", action="store_true")
     p.add_argument("--index", default=INDEX)
     return top

@@ -37,7 +37,7 @@ def _shape(df: DataFrame, rank: int, id: Column, agent: Column | str, ts: Column
     none = F.lit(None).cast("string")
     return df.select(
         id.alias("id"), (F.lit(agent) if isinstance(agent, str) else agent).alias("agent"), F.coalesce(ts, F.lit("")).alias("timestamp"), F.coalesce(msg, F.lit("")).alias("first_msg"),
-        F.coalesce(path, none).alias("path"), F.coalesce(session, none).alias("session_id"), source.alias("source"), (F.lit(rank).cast("long") * (1 << 40) + ord).alias("disc_ord"), mtime.cast("double").alias("mtime"), cwd.alias("cwd"),
+        F.coalesce(path, none).alias("path"), F.coalesce(session, none).alias("session_id"), source.alias("source"), (F.lit(rank).cast("long") * (1 << 58) + ord).alias("disc_ord"), mtime.cast("double").alias("mtime"), cwd.alias("cwd"),
     )
 
 
@@ -53,9 +53,9 @@ def _map(**kv: Column) -> Column:
     return F.map_filter(F.create_map(*(x for k, v in kv.items() for x in (F.lit(k), v.cast("string")))), lambda _, v: v.isNotNull())
 
 
-def _ord(*order: Column) -> Column:
-    """A place by SQL order. Stores hold thousands of sessions, not more, so one window over all of them is no burden."""
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with its place ``o`` in an order: numbers that grow along a distributed sort, not without gaps."""
+    return df.orderBy(*order).withColumn("o", F.monotonically_increasing_id())
 
 
 def _stored(df: DataFrame, rank: int, agent: str, prefix: str, key: Column, ts: Column, msg: Column, place: Column, ord: Column, **source: Column) -> DataFrame:
@@ -66,15 +66,15 @@ def opencode(session: DataFrame, message: DataFrame, part: DataFrame, rank: int)
     """The first prompt is the text of the first part of the first user's message that has parts."""
     asked = message.where(F.get_json_object("data", "$.role") == "user").select(F.col("id").alias("m"), F.col("session_id").alias("s"), F.col("time_created").alias("mt"))
     first = part.join(asked, F.col("message_id") == F.col("m")).groupBy("s").agg(F.min_by("data", F.struct("mt", "time_created", "id")).alias("data"))
-    both = session.join(first, session.id == F.col("s"), "left")
+    both = _placed(session.join(first, session.id == F.col("s"), "left"), F.desc("time_updated"), F.col("id"))
     said = text.strip(F.coalesce(F.get_json_object("data", "$.text"), F.lit("")))
     when = F.coalesce(F.nullif(F.col("time_updated"), F.lit(0)), F.nullif(F.col("time_created"), F.lit(0))).cast("string")
-    return _stored(both, rank, "opencode", "oc", F.col("id"), when, said, F.col("directory"), _ord(F.desc("time_updated"), F.col("id")), model=F.col("model"), dir=F.col("directory"))
+    return _stored(both, rank, "opencode", "oc", F.col("id"), when, said, F.col("directory"), F.col("o"), model=F.col("model"), dir=F.col("directory"))
 
 
 def codex_db(threads: DataFrame, rollouts: DataFrame, rank: int) -> DataFrame:
     """Threads whose rollout file isn't among the files found; those without such a path stay."""
-    ordered = threads.withColumn("o", _ord(F.desc("updated_at_ms"), F.col("id")))
+    ordered = _placed(threads, F.desc("updated_at_ms"), F.col("id"))
     known = rollouts.select(F.col("path").alias("p"))
     left = ordered.join(known, text.clean_path(F.col("rollout_path")) == F.col("p"), "left_anti")
     when = F.nullif(F.col("updated_at_ms"), F.lit(0)).cast("string")
@@ -83,12 +83,12 @@ def codex_db(threads: DataFrame, rollouts: DataFrame, rank: int) -> DataFrame:
 
 def hermes(sessions: DataFrame, messages: DataFrame, rank: int) -> DataFrame:
     first = messages.where("role = 'user'").groupBy("session_id").agg(F.min_by("content", "id").alias("said"))
-    both = sessions.join(first, sessions.id == first.session_id, "left").drop("session_id")
-    return _stored(both, rank, "hermes", "hm", F.col("id"), text.iso_local(F.col("started_at")), text.strip(F.col("said")), F.col("cwd"), _ord(F.desc("started_at"), F.col("id")), model=F.col("model"), cwd=F.col("cwd"))
+    both = _placed(sessions.join(first, sessions.id == first.session_id, "left").drop("session_id"), F.desc("started_at"), F.col("id"))
+    return _stored(both, rank, "hermes", "hm", F.col("id"), text.iso_local(F.col("started_at")), text.strip(F.col("said")), F.col("cwd"), F.col("o"), model=F.col("model"), cwd=F.col("cwd"))
 
 
 def copilot_db(sessions: DataFrame, rank: int) -> DataFrame:
-    return _stored(sessions, rank, "copilot_db", "gh", F.col("id"), F.col("created_at"), F.lit(""), F.lit(None).cast("string"), _ord(F.col("id")))
+    return _stored(_placed(sessions, F.col("id")), rank, "copilot_db", "gh", F.col("id"), F.col("created_at"), F.lit(""), F.lit(None).cast("string"), F.col("o"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

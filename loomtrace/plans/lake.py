@@ -25,9 +25,7 @@ class Lake:
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written once to the shared folder, so that every question reads it instead of the stores."""
-        where = scratch.folder(self.spark, name)
-        df.write.parquet(where)
-        return self.spark.read.parquet(where)
+        return scratch.keep(df, name)
 
     def _found(self, name: str) -> DataFrame:
         if name == "claude" and self.scope:
@@ -42,14 +40,16 @@ class Lake:
     def _extra(self) -> DataFrame:
         return files.folder_files(self.spark, config.folders(self.settings))
 
-    def _lines(self, found: DataFrame) -> DataFrame:
+    def _lines(self, found: DataFrame) -> DataFrame | None:
         # paths of files, as the driver listed them a moment ago
-        return files.lines(self.spark, [r.path for r in found.select("path").collect()])
+        paths = [r.path for r in found.select("path").collect()]
+        return files.lines(self.spark, paths) if paths else None
 
     @cached_property
     def _events(self) -> dict[str, DataFrame]:
         """Decoded lines of the stores that have any files."""
-        return {k: sessions.events(self._lines(f), k) for k, f in self._files.items() if not f.isEmpty()}
+        read = {k: self._lines(f) for k, f in self._files.items()}
+        return {k: sessions.events(lines, k) for k, lines in read.items() if lines is not None}
 
     @cached_property
     def _extra_kinds(self) -> DataFrame:
@@ -92,36 +92,41 @@ class Lake:
             parts = [(k, df if k == "claude" else df.where(text.within(F.col("cwd"), self.scope))) for k, df in parts]
         return records.union([df for _, df in parts]).drop("cwd")
 
-    def _all(self) -> list[tuple[DataFrame, DataFrame]]:
-        out = []
+    def parse(self, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(steps, trajectories) of all records, or of those in ``only(path, ...)``: no line of any other session is read."""
+        keep = self.records.select("path").distinct() if only is None else only.select("path").distinct()
+        mine = lambda df, key="path": df.join(keep, df[key] == keep.path, "left_semi")
         fall = self.records.select("path", F.col("timestamp").alias("fallback_ts"))
-        for k, ev in self._events.items():
-            step = sessions.steps(ev, k, fall)
-            out.append((step, sessions.trajectories(ev, step, k)))
+        pairs = []
+        for k, found in self._files.items():
+            lines = self._lines(found if only is None else mine(found))
+            if lines is not None:
+                pairs.append(sessions.parse(lines, k, fall))
+        kinds = self._extra.join(self._extra_kinds, "path") if self._extra_formats else None
         for k in self._extra_formats:
-            ev = sessions.events(self._extra_lines.where(F.col("fmt") == k), k)
-            step = sessions.steps(ev, k, fall)
-            out.append((step, sessions.trajectories(ev, step, k)))
+            lines = self._lines(mine(kinds.where(F.col("fmt") == k)))
+            if lines is not None:
+                pairs.append(sessions.parse(lines, k, fall))
         for k, parse in (("hermes", sessions.hermes), ("copilot_db", sessions.copilot_db)):
-            pair = parse(*self._stores[k].values())
-            out.append(tuple(df.withColumn("path", F.concat(F.lit(f"{k}:"), "path")) for df in pair))
+            head, rows = self._stores[k].values()
+            named = lambda df, key: mine(df.withColumn("_path", F.concat(F.lit(f"{k}:"), key)), "_path").drop("_path")  # noqa: B023, E731
+            pairs.append(tuple(df.withColumn("path", F.concat(F.lit(f"{k}:"), "path")) for df in parse(named(head, "id"), named(rows, "session_id"))))
         # threads of the database whose rollout file still exists are read from that file
-        threads = self.records.where("agent = 'codex_db'").select(F.col("path").alias("key"), F.try_element_at("source", F.lit("rollout_path")).alias("file"))
+        threads = mine(self.records.where("agent = 'codex_db'")).select(F.col("path").alias("key"), F.try_element_at("source", F.lit("rollout_path")).alias("file"))
         held = [(r.key, r.file) for r in threads.where("file <> ''").collect() if os.path.exists(r.file)]
         if held:
             keys = self.spark.createDataFrame(held, "key string, file string")
             lines = files.lines(self.spark, [f for _, f in held]).join(F.broadcast(keys), F.col("path") == F.col("file")).select(F.col("key").alias("path"), "line_no", "value")  # a row per thread without its own file
-            out.append(sessions.parse(lines, "codex", fall))
-        return out
-
-    @cached_property
-    def _parsed(self) -> tuple[DataFrame, DataFrame]:
-        pairs = self._all()
+            pairs.append(sessions.parse(lines, "codex", fall))
         step, traj = pairs[0]
         for s, t in pairs[1:]:
             step, traj = step.unionByName(s), traj.unionByName(t, allowMissingColumns=True)
-        mine = self.records.select("path").distinct()
-        return self._kept(step.join(mine, "path", "left_semi"), "steps"), self._kept(traj.join(mine, "path", "left_semi"), "trajectories")
+        return mine(step), mine(traj)
+
+    @cached_property
+    def _parsed(self) -> tuple[DataFrame, DataFrame]:
+        step, traj = self.parse()
+        return self._kept(step, "steps"), self._kept(traj, "trajectories")
 
     @property
     def steps(self) -> DataFrame:
@@ -131,22 +136,28 @@ class Lake:
     def trajectories(self) -> DataFrame:
         return self._parsed[1]
 
+    def one(self, record: dict) -> tuple[DataFrame, dict | None]:
+        """(steps, trajectory) of a single record, read from its own file or rows; the trajectory is None where it can't be parsed."""
+        step, traj = self.parse(self.records.where(F.col("path") == record["path"]).limit(1))
+        row = traj.first()
+        return step, row.asDict(recursive=True) if row else None
+
     def materialise(self, folder: str) -> tuple[DataFrame, DataFrame]:
-        """Parsed tables kept as Parquet by (path, mtime): only sessions that are new or changed are parsed again."""
+        """Parsed tables kept as Parquet by (path, mtime): only sessions that are new or changed are read and parsed again."""
         now = self.records.select("path", "mtime")
-        done = None
         seen = f"{folder}/seen"
+        todo, generation = now, 0
         if index._exists(self.spark, seen):
             done = self.spark.read.parquet(seen).groupBy("path").agg(F.max_by("mtime", "generation").alias("mtime"), F.max("generation").alias("generation"))
-        generation = (done.agg(F.max("generation")).first()[0] + 1) if done is not None else 0
-        todo = now if done is None else now.join(done.where("mtime <> 0").select("path", "mtime"), ["path", "mtime"], "left_anti")
-        todo = todo.withColumn("generation", F.lit(generation))
-        if todo.count():
-            for name, df in (("steps", self.steps), ("trajectories", self.trajectories)):
-                df.join(todo.select("path", "generation"), "path").write.mode("append").parquet(f"{folder}/{name}")
+            generation = done.agg(F.max("generation")).first()[0] + 1
+            todo = now.join(done.where("mtime <> 0").select("path", "mtime"), ["path", "mtime"], "left_anti")
+        todo = self._kept(todo.withColumn("generation", F.lit(generation)), "todo")
+        if not todo.isEmpty():
+            for name, df in zip(("steps", "trajectories"), self.parse(todo)):
+                df.join(todo.select("path", "generation"), "path").write.mode("append").option("mergeSchema", True).parquet(f"{folder}/{name}")
             todo.write.mode("append").parquet(seen)
         last = self.spark.read.parquet(seen).groupBy("path").agg(F.max("generation").alias("generation"))
-        return tuple(self.spark.read.parquet(f"{folder}/{n}").join(last, ["path", "generation"], "left_semi").drop("generation") for n in ("steps", "trajectories"))
+        return tuple(self.spark.read.option("mergeSchema", True).parquet(f"{folder}/{n}").join(last, ["path", "generation"], "left_semi").drop("generation") for n in ("steps", "trajectories"))
 
     # ── questions ────────────────────────────────────────────────────────────
 
@@ -154,16 +165,8 @@ class Lake:
         return search.list_records(self.records, since, date)
 
     def search(self, query: str, backend: str = "grep", folder: str | None = None) -> DataFrame:
-        """``grep`` reads all steps, ``fast`` records only, ``index`` and ``candidates`` the index in ``folder``."""
-        if backend == "fast":
-            return search.fast(self.records, query)
-        if backend in ("index", "candidates"):
-            hits = index.lookup(self.spark, folder, query)
-            if backend == "candidates":
-                top = hits.orderBy("rank", "path", "step_id").select("path").distinct().limit(search.CANDIDATES)
-                return search.grep(self.records.withColumn("first_msg", F.lit("")).join(top, "path", "left_semi"), self.steps, query)
-            return hits.join(self.records.drop("mtime"), "path").orderBy("rank", "path", "step_id")
-        return search.backend(backend)(self.records, self.steps, query)
+        """``grep`` reads all steps, ``fast`` records only, ``index`` (``sqlite``) and ``candidates`` (``recoll``) the index in ``folder``."""
+        return search.backend(backend)(search.Corpus(self.spark, self.records, lambda: self.steps, folder), query)
 
     def find(self, target: str) -> DataFrame:
         return analytics.find(self.records, target)
@@ -174,14 +177,16 @@ class Lake:
     def stats(self) -> DataFrame:
         return analytics.stats(self.records, self.trajectories)
 
-    def programs(self, path: str | None = None) -> DataFrame:
-        return analytics.session_programs(self.steps.where(F.col("path") == path) if path else self.steps)
+    def programs(self) -> DataFrame:
+        return analytics.session_programs(self.steps)
 
     def delete_candidates(self, message: str) -> DataFrame:
         return analytics.delete_candidates(self.records, self.steps, message)
 
     def refresh(self, folder: str, force: bool = False) -> tuple[int, int]:
-        return index.build(self.records, self.steps, folder, force)
+        """Bring the index in ``folder`` up to date; (indexed, skipped). Sessions that haven't changed aren't read."""
+        todo = self._kept(index.stale(self.records, folder, force), "todo")
+        return index.build(self.records, self.parse(todo)[0], folder, force) if not todo.isEmpty() else (0, self.records.count())
 
     def snapshot(self, kind: str) -> DataFrame:
         """(key, mtime) of what there is before a run; see ``analytics.pick``."""

@@ -111,3 +111,18 @@ def folder_files(spark: SparkSession, folders: list[str]) -> DataFrame:
         if "://" in f or os.path.isdir(os.path.expanduser(f)):
             found += list_files(spark, f, ("**/*.jsonl",))
     return spark.createDataFrame([(*f, i) for i, f in enumerate(found)], SCHEMA)
+
+
+def agents_of(spark: SparkSession, home: str, paths: DataFrame) -> DataFrame:
+    """(path, agent, prefix) of session files: by the store they lie in, else by what their lines look like; files without a sign are left out."""
+    stores = [STORES[k] for k in ("claude", "agent_probe", "codex", "copilot")]
+    place = F.lit(None).cast("string")
+    for s in stores:
+        place = F.coalesce(place, F.when(F.startswith("path", F.lit(os.path.join(home, s.root).rstrip("/") + "/")), s.agent))
+    known = paths.select("path", place.alias("agent"))
+    others = [r.path for r in known.where("agent is null").select("path").collect()]  # paths as they were given
+    found = known.where("agent is not null")
+    if others:
+        found = found.unionByName(sniff(lines(spark, others)).select("path", F.col("fmt").alias("agent")))
+    prefix = F.create_map(*(F.lit(x) for s in stores for x in (s.agent, s.prefix)))
+    return found.select("path", "agent", F.coalesce(F.try_element_at(prefix, F.col("agent")), F.lit("xx")).alias("prefix"))

@@ -108,15 +108,15 @@ def test_stores_and_configuration(spark, home, tmp_path, monkeypatch):
     assert {os.path.basename(r.path): r.fmt for r in files.sniff(lines).collect()} == {"s.jsonl": "codex", "t.jsonl": "claude"}
 
 
-def test_command_line(spark, home, lake, capsys, monkeypatch):
-    monkeypatch.setattr(cli, "Lake", lambda spark, home, scope=None: lake)  # parsed once for all commands
+def test_command_line(spark, home, capsys, monkeypatch):
+    monkeypatch.setattr(config, "load", lambda path=None: {})
 
     def run(*argv):
         code = cli.main(["--home", str(home), *argv], spark)
         return code, capsys.readouterr()
 
     code, out = run("list", "--all", "--page-size", "4")
-    assert code == 0 and "page 1/3 | trajectories 1–4 of 12" in out.out and "/elsewhere" in out.out
+    assert code == 0 and "page 1/3 | trajectories 1–4 of 11" in out.out and "/elsewhere" in out.out
     code, out = run("list", "--all", "--page", "9")
     assert code == 1 and "out of range" in out.err
     code, out = run("search", "probe here")
@@ -131,11 +131,71 @@ def test_command_line(spark, home, lake, capsys, monkeypatch):
     with pytest.raises(SystemExit):
         run("info", "nope")
     assert json.loads(capsys.readouterr().out) == {"error": "trajectory `nope` not found"}
-    assert json.loads(run("stats", "--all")[1].out)["total_trajectories"] == 12
+    assert json.loads(run("stats", "--all")[1].out)["total_trajectories"] == 11
     assert json.loads(run("advanced", "tools", "--id", "one.jsonl", "--json")[1].out)["programs"] == [{"program": "git", "count": 1}]
     assert "No agent edits" in run("blame", "/nothing", "--all")[1].out
 
 
+def test_command_line_scopes(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(config, "load", lambda path=None: {})
+    place, other = tmp_path / "work", tmp_path / "other"
+    place.mkdir()
+    slug = lambda p: "".join(c if c.isalnum() and c.isascii() else "-" for c in str(p))
+    for where, said in ((place, "inside here"), (other, "outside here")):
+        put(tmp_path / ".claude/projects" / slug(where) / f"{said[:3]}.jsonl", [{"type": "user", "cwd": str(where), "message": {"content": said}}, {"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "b", "name": "Bash", "input": {"command": "git status"}}]}}])
+    monkeypatch.chdir(place)
+
+    def run(*argv):
+        assert cli.main(["--home", str(tmp_path), *argv], spark) == 0
+        return capsys.readouterr().out
+
+    assert "inside" in (out := run("list")) and "outside" not in out
+    assert "inside" in (out := run("list", "--all")) and "outside" in out
+    assert "outside" in (out := run("list", "--dir", str(other))) and "inside" not in out
+    assert "of 2 -->" in run("search", r"outside\|inside") and "of 1 -->" in run("search", "here", "--local")
+    index = ["--index", str(tmp_path / "index")]
+    assert "Nothing" in run("refresh", "--config-only", *index) and "Nothing" in run("refresh", "--no-recoll", "--no-sqlite", *index)
+    assert "Indexed 2" in run("refresh", "--no-recoll", *index) and "Indexed 0 session(s), skipped 2" in run("refresh", *index)
+    assert "of 2 -->" in run("search", "here", "--backend", "sqlite", *index) and "of 1 -->" in run("search", r"inside\|git rebase", "--backend", "recoll", *index)
+    assert json.loads(run("advanced", "tools", "--dir", str(other), "--json"))["programs"] == [{"program": "git", "count": 1}]
+
+
+def test_only_changed_sessions_are_read(spark, tmp_path, monkeypatch):
+    paths = [put(tmp_path / f".claude/projects/p/{i}.jsonl", [{"type": "user", "message": {"content": f"number {i}"}}]) for i in range(4)]
+    read = []
+    real = files.lines
+    monkeypatch.setattr(files, "lines", lambda spark, paths: read.extend(paths) or real(spark, paths))
+
+    def lines_read(f):
+        fresh = Lake(spark, str(tmp_path), settings={})
+        fresh.records.count()  # first messages are read anew
+        read.clear()
+        out = f(fresh)
+        return out, sorted(read)
+
+    where, folder = f"file://{tmp_path}/parsed", f"file://{tmp_path}/index"
+    (steps, _), got = lines_read(lambda lake: lake.materialise(where))
+    assert got == paths and steps.count() == 4
+    (steps, _), got = lines_read(lambda lake: lake.materialise(where))
+    assert got == [] and steps.count() == 4
+    assert lines_read(lambda lake: lake.refresh(folder)) == ((4, 0), paths)
+    assert lines_read(lambda lake: lake.refresh(folder)) == ((0, 4), [])
+    put(tmp_path / ".claude/projects/p/2.jsonl", [{"type": "user", "message": {"content": "changed"}}, {"type": "user", "message": {"content": "more"}}])
+    os.utime(paths[2], (1, 1))
+    (steps, traj), got = lines_read(lambda lake: lake.materialise(where))
+    assert got == [paths[2]] and steps.count() == 5 and traj.count() == 4
+    assert lines_read(lambda lake: lake.refresh(folder)) == ((1, 3), [paths[2]])
+    (step, row), got = lines_read(lambda lake: lake.one(lake.find("3.jsonl").first().asDict(recursive=True)))
+    assert got == [paths[3]] and row["n_steps"] == 1 and [r.message for r in step.collect()] == ["number 3"]
+
+
+def test_agents_of_files(spark, home, tmp_path):
+    known = [str(home / ".claude/projects/-w-p/one.jsonl"), str(home / ".copilot/session-state/x/events.jsonl")]
+    loose = [put(tmp_path / "a.jsonl", [{"type": "session_meta"}]), put(tmp_path / "b.jsonl", [{"x": 1}])]
+    got = files.agents_of(spark, str(home), spark.createDataFrame([(p,) for p in known + loose], "path string"))
+    assert {tuple(r) for r in got.collect()} == {(known[0], "claude", "cl"), (known[1], "copilot", "cp"), (loose[0], "codex", "cx")}
+
+
 def test_delete_asks_first(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(config, "load", lambda path=None: {})
     path = put(tmp_path / ".claude/projects/x/a.jsonl", [{"type": "user", "message": {"content": "Ping"}}])
