@@ -73,18 +73,6 @@ def truncate_docs(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text")).alias("text"))
 
 
-@_query("""SELECT d.lang, count(*) AS n_docs, count(l.doc_id) AS n_labelled, sum(d.n_chars)::BIGINT AS n_chars, coalesce(sum(l.quality), 0)::BIGINT AS n_good
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""")
-def stats_by_lang(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count("quality").alias("n_labelled"), F.sum("n_chars").alias("n_chars"), F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("n_good"))
-
-
-@_query("SELECT role AS agent, count(*) AS n FROM conversations GROUP BY role")
-def agent_counts(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").groupBy(F.col("role").alias("agent")).agg(F.count("*").alias("n"))
-
-
 # ── search ────────────────────────────────────────────────────────────────────
 
 
@@ -99,12 +87,12 @@ def grep_and(spark, sf_dir):
 
 @_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(text), '@')")
 def grep_or(spark, sf_dir):
-    return _grep(spark, sf_dir, "worthless | @ |")
+    return _grep(spark, sf_dir, r"worthless \| @ \|")
 
 
 @_query("SELECT doc_id FROM documents WHERE (contains(lower(text), 'the') AND contains(lower(text), 'with')) OR contains(lower(text), 'license') OR contains(lower(text), 'xyzzy_none')")
 def grep_and_or(spark, sf_dir):
-    return _grep(spark, sf_dir, "the with|license|xyzzy_none")
+    return _grep(spark, sf_dir, r"the with\|license\|xyzzy_none")
 
 
 def _cut(x: str, word: str) -> str:
@@ -134,7 +122,7 @@ def grep_snippet(spark, sf_dir):
 @_query(f"SELECT id FROM ({_RECORDS}) WHERE contains(lower(first_msg), 'the') OR contains(id, 'cv-a') OR agent = 'xyzzy'")
 def fast_search(spark, sf_dir):
     rec = _conv_records(spark, sf_dir).withColumn("timestamp", F.lit(""))
-    return search.fast(rec, "the|cv-a").select("id")
+    return search.fast(rec, r"the\|cv-a").select("id")
 
 
 _TOKS = f"regexp_extract_all(translate(lower(text), '{index.MARKED}', '{index.BARE}'), '[\\p{{L}}\\p{{N}}]+')"
@@ -157,7 +145,7 @@ def fts_phrase(spark, sf_dir):
 
 @_query(f"SELECT doc_id FROM (SELECT doc_id, {_TOKS} AS t FROM documents) WHERE (list_contains(t, 'all') AND list_contains(t, 'rights')) OR list_contains(t, 'worthless')")
 def fts_and_or(spark, sf_dir):
-    return _fts(spark, sf_dir, "ALL rights|worthless").select("doc_id")
+    return _fts(spark, sf_dir, r"ALL rights\|worthless").select("doc_id")
 
 
 _BM25 = f"""WITH d AS (SELECT doc_id, text, {_TOKS} AS t FROM documents),
@@ -172,30 +160,37 @@ k AS (SELECT doc_id, text, -(CASE WHEN a > 0 AND b > 0 THEN ia * a * 2.2 / (a +
 
 @_query(_BM25 + "SELECT doc_id, round(rank, 4) AS rank FROM k")
 def bm25_top(spark, sf_dir):
-    return _fts(spark, sf_dir, "license the|worthless").select("doc_id", F.round("rank", 4).alias("rank")).orderBy("rank", "doc_id")
+    return _fts(spark, sf_dir, r"license the\|worthless").select("doc_id", F.round("rank", 4).alias("rank")).orderBy("rank", "doc_id")
 
 
-@_query(_BM25.replace("'license'", "'of'").replace("'worthless'", "'license'") + "SELECT doc_id FROM (SELECT * FROM k ORDER BY round(rank, 9), doc_id LIMIT 200) WHERE contains(lower(text), 'license') OR (contains(lower(text), 'of') AND contains(lower(text), 'the'))")
+@_query(_BM25.replace("'license'", "'of'").replace("'worthless'", "'license'") + "SELECT doc_id FROM (SELECT * FROM k ORDER BY round(rank, 9), doc_id::VARCHAR LIMIT 200) WHERE contains(lower(text), 'license') OR (contains(lower(text), 'of') AND contains(lower(text), 'the'))")
 def candidates_200(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    clauses = index.query_phrases(spark, "of the|license")
-    best = index.rank(d.withColumn("toks", index.tokens(F.col("text"))), clauses).drop("toks").orderBy(F.round("rank", 9), "doc_id").limit(search.CANDIDATES)
-    return best.where(text.matches(F.col("text"), text.parse_query("of the|license"))).select("doc_id")
+    """The capped backend over an index of all documents: the 200 best, of which those stay that hold the query's letters."""
+    rec, step = _doc_corpus(spark, sf_dir)
+    where = scratch.folder(spark, "index")
+    index.build(rec, step, where)
+    query = r"of the\|license"
+    return index.capped(index.lookup(spark, where, query, snippets=False), rec, step, query).select(F.col("path").cast("long").alias("doc_id"))
 
 
-def _doc_index(spark, sf_dir, where) -> tuple[int, int]:
+def _doc_corpus(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents as records of one step each."""
     d = _t(spark, sf_dir, "documents")
-    rec = d.select(_str("doc_id").alias("path"), F.lit(1.5).alias("mtime"))
     none = lambda kind: F.lit(None).cast(kind)
+    rec = d.select(_str("doc_id").alias("path"), F.lit(1.5).alias("mtime"), F.lit("").alias("first_msg"), F.lit("").alias("timestamp"), F.col("doc_id").alias("disc_ord"))
     step = d.select(_str("doc_id").alias("path"), F.lit(1).alias("step_id"), F.col("text").alias("message"), none("string").alias("reasoning_content"), none("array<struct<arguments_json:string>>").alias("tool_calls"), none("array<struct<content:string>>").alias("results"))
-    return index.build(rec, step, where)
+    return rec, step
+
+
+def _doc_index(spark, sf_dir, where) -> tuple[int, int]:
+    return index.build(*_doc_corpus(spark, sf_dir), where)
 
 
 @_query(_BM25 + "SELECT doc_id, round(rank, 4) AS rank FROM k")
 def index_search(spark, sf_dir):
     where = scratch.folder(spark, "index")
     _doc_index(spark, sf_dir, where)
-    return index.lookup(spark, where, "license the|worthless").select(F.col("path").cast("long").alias("doc_id"), F.round("rank", 4).alias("rank"))
+    return index.lookup(spark, where, r"license the\|worthless").select(F.col("path").cast("long").alias("doc_id"), F.round("rank", 4).alias("rank"))
 
 
 @_query("SELECT count(*) AS indexed, 0::BIGINT AS skipped, 0::BIGINT AS indexed_again, count(*) AS skipped_again FROM documents")
@@ -226,11 +221,6 @@ def event_summary(spark, sf_dir):
     return out.select(F.col("path").alias("user_id"), "terminal_event", "error_count", F.array_join("event_types", ",").alias("event_types"))
 
 
-@_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def event_json(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
 def _event_records(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_id").alias("disc_ord"))
 
@@ -263,11 +253,6 @@ def programs(spark, sf_dir):
     return analytics.programs(_t(spark, sf_dir, "events").select(F.lit("Bash").alias("function_name"), F.to_json(F.struct(command.alias("command"))).alias("arguments_json")))
 
 
-@_query("SELECT user_id, max(value) AS top, sum((value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY user_id")
-def token_max(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("top"), F.sum(F.rint(F.col("value") * 100).cast("long")).alias("cents"))
-
-
 @_query("""WITH h AS (SELECT user_id AS key, max(ts) AS m FROM events WHERE event_id < (SELECT count(*) / 2 FROM events) GROUP BY user_id),
 a AS (SELECT user_id AS key, max(ts) AS m FROM events GROUP BY user_id)
 SELECT a.key, epoch_us(a.m)::DOUBLE AS mtime FROM a LEFT JOIN h ON a.key = h.key WHERE h.m IS NULL OR a.m > h.m""")
@@ -368,10 +353,11 @@ _TALK = _STEPS.format(where="role IN ('user', 'assistant') AND")
 
 
 def _lines(spark, sf_dir, user: list, agent: list) -> DataFrame:
-    """Turns as native lines: ``user`` and ``agent`` are lists of structs for each turn. System turns are left out, as in
-    the SQL; totals made from these lines cover user and assistant turns only."""
-    c = _t(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
-    rows = F.when(F.col("role") == "user", F.array(*map(F.to_json, user))).otherwise(F.array(*map(F.to_json, agent)))
+    """Turns as native lines: ``user`` and ``agent`` are lists of structs for each turn. System turns are lines of a type of
+    their own, which makes no step in any format."""
+    c = _t(spark, sf_dir, "conversations")
+    told = F.array(F.to_json(F.struct(F.lit("system").alias("type"), F.col("text").alias("content"))))
+    rows = F.when(F.col("role") == "user", F.array(*map(F.to_json, user))).when(F.col("role") == "assistant", F.array(*map(F.to_json, agent))).otherwise(told)
     return c.select(_str("conv_id").alias("path"), "turn", F.posexplode(rows).alias("k", "value")).select("path", (F.col("turn") * 4 + F.col("k")).alias("line_no"), "value")
 
 
@@ -424,7 +410,7 @@ def roundtrip_exec(spark, sf_dir):
 
 @_query(_TALK)
 def roundtrip_hermes(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
+    c = _t(spark, sf_dir, "conversations")
     none = F.lit(None).cast("string")
     messages = c.select(_str("conv_id").alias("session_id"), (F.col("turn") + 1).alias("id"), "role", F.col("text").alias("content"), none.alias("tool_calls"), none.alias("tool_name"), none.alias("tool_call_id"), F.lit(1.5).alias("timestamp"), none.alias("reasoning_content"))
     zero = F.lit(0).cast("long")
@@ -434,7 +420,7 @@ def roundtrip_hermes(spark, sf_dir):
 
 @_query(_TALK)
 def roundtrip_turns(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
+    c = _t(spark, sf_dir, "conversations")
     none = F.lit(None).cast("string")
     said = lambda role: F.when(F.col("role") == role, F.col("text"))
     turns = c.select(_str("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), said("user").alias("user_message"), said("assistant").alias("assistant_response"), none.alias("timestamp"))
@@ -456,7 +442,7 @@ def result_pairing(spark, sf_dir):
 
 
 @_query("""SELECT count(*) AS total_trajectories, count(*) AS parsed_trajectories, sum(n)::BIGINT AS total_steps, sum(t)::BIGINT AS total_tokens FROM
-(SELECT conv_id, count(*) AS n, sum(ceil(length(text) / 4.0)) AS t FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)""")
+(SELECT conv_id, count(*) FILTER (role <> 'system') AS n, coalesce(sum(ceil(length(text) / 4.0)) FILTER (role <> 'system'), 0) AS t FROM conversations GROUP BY conv_id)""")
 def session_stats(spark, sf_dir):
     t = F.col("text")
     lines = _lines(spark, sf_dir, [_s(type="user.message", data=_s(content=t))], [_s(type="assistant.message", data=_s(content=t)), _s(type="assistant.turn_end")])
