@@ -6,6 +6,8 @@ sessions that are dropped into a landing folder can be ingested as they come.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,21 +22,37 @@ def landed(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame
     return read.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), "value")
 
 
+def _run(spark: SparkSession, checkpoint: str) -> str:
+    """A name for a checkpoint's life: its first moment, then the id that Spark gave the query."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/metadata")
+    since = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    return f"{since:015d}-{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}"
+
+
 def ingest(spark: SparkSession, folder: str, fmt: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Parse landed sessions to ``out``/steps and ``out``/trajectories. Each micro-batch parses its own files by the batch plan.
 
-    Batches are numbered, and a batch that is repeated after a failure writes to its own folder again.
+    Batches are numbered below the name of their checkpoint: a batch that is repeated after a failure writes to its own
+    folder again, and one of a later checkpoint, whose numbers begin anew, to another. ``ingested`` reads what they wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        run = _run(spark, checkpoint)
         lines = batch.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("line_no", "value"))
         step, traj = sessions.parse(lines, fmt)
-        step.write.mode("overwrite").parquet(f"{out}/steps/batch={number}")
-        traj.write.mode("overwrite").parquet(f"{out}/trajectories/batch={number}")
+        for name, df in (("steps", step), ("trajectories", traj)):
+            df.write.mode("overwrite").parquet(f"{out}/{name}/run={run}/batch={number}")
 
     return landed(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def ingested(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """``steps`` or ``trajectories`` as they were ingested: of a session that several checkpoints read, what the last one made of it."""
+    read = spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}").withColumn("run", F.col("run").cast("string"))
+    last = read.groupBy("path").agg(F.max("run").alias("run"))
+    return read.join(last, ["path", "run"], "left_semi").drop("run", "batch")
+
+
 def matches(stream: DataFrame, query: str, column: str = "value") -> DataFrame:
     """A standing search: rows of a stream whose text matches, with their surroundings. Stateless, so it needs no watermark."""
     clauses = text.parse_query(query)

@@ -3,8 +3,9 @@ import os
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomtrace import cli
+from loomtrace import cli, ship
 from loomtrace.plans.lake import Lake
 from loomtrace.sources import config, files, sqlite
 from loomtrace.streaming import ingest
@@ -211,8 +212,28 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, str(tmp_path / "in"), "claude", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         put(tmp_path / "in/b.jsonl", [{"type": "user", "message": {"content": "second"}}])
-    got = spark.read.parquet(str(tmp_path / "out/steps"))
-    assert sorted(r.message for r in got.collect()) == ["hello stream", "second"]
+    out = str(tmp_path / "out")
+    assert sorted(r.message for r in ingest.ingested(spark, out, "steps").collect()) == ["hello stream", "second"]
+    # another checkpoint begins at batch 0 again, takes all files anew and leaves the batches before as they are
+    put(tmp_path / "in/c.jsonl", [{"type": "user", "message": {"content": "third"}}])
+    ingest.ingest(spark, str(tmp_path / "in"), "claude", out, str(tmp_path / "ck2")).awaitTermination()
+    assert len(list((tmp_path / "out/steps").glob("run=*"))) == 2
+    assert sorted(r.message for r in ingest.ingested(spark, out, "steps").collect()) == ["hello stream", "second", "third"]
+    assert ingest.ingested(spark, out, "trajectories").count() == 3
     hits = ingest.matches(ingest.landed(spark, str(tmp_path / "in")), "STREAM")
     hits.writeStream.format("memory").queryName("hits").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("hits").count() == 1
+    put(tmp_path / "timed/a.jsonl", [{"type": k, "timestamp": f"2026-01-01T0{h}:30:00Z", "message": {}} for k, h in (("user", 0), ("user", 0), ("assistant", 0), ("user", 1))])
+    whole = ingest.landed(spark, str(tmp_path / "timed"))
+    lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no").cast("long"))
+    ingest.event_counts(lines, "claude").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.start.hour, r["name"], r["count"]) for r in spark.table("counts").collect()) == [(0, "assistant", 1), (0, "user", 2), (1, "user", 1)]
+
+
+def test_the_package_can_be_shipped(tmp_path):
+    import subprocess
+    import sys
+
+    path = ship.archive(str(tmp_path))
+    code = f"import sys; sys.path.insert(0, {path!r}); from loomtrace.functions import decode; print(decode.__file__)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True).stdout.startswith(path)
