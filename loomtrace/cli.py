@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import analytics, records, render, search
+from .operators import analytics, index, records, render, search
 from .plans.lake import Lake
 
 INDEX = "~/.cache/loomtrace/index"
@@ -28,15 +28,15 @@ def _page(args) -> int:
     return -1 if args.last else args.page
 
 
-def _rows(df: DataFrame, *cols, args, head: str, unit: str, foot: str = "") -> str:
-    """A page of a table: Spark counts and cuts, the driver sees one page."""
+def _rows(df: DataFrame, *cols, args, head: str, unit: str, foot: str = "", finish=lambda page: page) -> str:
+    """A page of a table: Spark counts and cuts, the driver sees one page. ``finish`` adds what only rows that are shown need."""
     total = df.count()
     last = max(1, -(-total // args.page_size))
     number = last if args.last else args.page
     if not 1 <= number <= last:
         raise ValueError(f"page {number} out of range (1–{last})")
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *cols), F.lit(" |"))
-    got = [r[0] for r in search.page(df, number, args.page_size).select(cells).collect()]
+    got = [r[0] for r in finish(search.page(df, number, args.page_size)).select(cells).collect()]
     first = (number - 1) * args.page_size
     out = [f"<!-- page {number}/{last} | {unit} {first + 1}–{first + len(got)} of {total} -->", head, *got]
     if number == last:
@@ -82,9 +82,14 @@ def cmd_search(spark, args) -> str:
     if args.fast:
         df = lake.search(args.query, "fast")
         return _rows(df, *_cells(df), args=args, head=_table("ID", "Agent", "Date", "First message"), unit="results", foot=HINT)
-    df = lake.search(args.query, args.backend, os.path.expanduser(args.index))
+    where, finish = os.path.expanduser(args.index), lambda page: page
+    if args.backend in ("index", "sqlite"):
+        df = index.ranked(spark, where, args.query, lake.records)
+        finish = lambda page: index.attach(spark, where, args.query, page).orderBy("rank", "path", "step_id")
+    else:
+        df = lake.search(args.query, args.backend, where)
     cells = [F.concat(F.lit("`"), F.col("id"), F.lit("`")), F.col("agent"), _day(), F.col("step_id").cast("string"), text.table_cell(F.col("snippet"))]
-    return _rows(df, *cells, args=args, head=_table("ID", "Agent", "Date", "Step", "Match"), unit="results", foot=HINT)
+    return _rows(df, *cells, args=args, head=_table("ID", "Agent", "Date", "Step", "Match"), unit="results", foot=HINT, finish=finish)
 
 
 def _found(spark, args) -> tuple[Lake, dict, DataFrame, dict | None]:

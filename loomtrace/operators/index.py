@@ -44,13 +44,18 @@ def tokens(column: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(column), MARKED, BARE), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def _told(spark: SparkSession, expressions: list[Column]) -> list:
+    """Values of expressions over constants; no task is run for them."""
+    return list(spark.sql("SELECT 1 AS one").select(*(e.alias(f"v{i}") for i, e in enumerate(expressions))).collect()[0])
+
+
 def query_phrases(spark: SparkSession, query: str) -> list[list[list[str]]]:
     """Alternatives of words, each word as the phrase of tokens it falls into."""
     clauses = text.parse_query(query)
     words = list(dict.fromkeys(search.words_of(clauses)))
     if not words:
         return []
-    cut = dict(spark.createDataFrame([(w,) for w in words], "w string").select("w", tokens(F.col("w"))).collect())
+    cut = dict(zip(words, _told(spark, [tokens(F.lit(w)) for w in words])))
     return [[cut[w] for w in words] for words in clauses]
 
 
@@ -209,9 +214,9 @@ def _scored(spark: SparkSession, folder: str, query: str) -> DataFrame | None:
         return None
     terms = sorted({t for p in phrases for t in p})
     buckets = _layout(spark, folder)
-    held = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), buckets)).distinct().collect()
+    held = sorted(set(_told(spark, [_bucket(F.lit(t), buckets) for t in terms])))
     now = latest(spark, folder)
-    post = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin([r[0] for r in held]) & F.col("term").isin(terms))
+    post = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(held) & F.col("term").isin(terms))
     if len(_ls(spark, f"{folder}/records")) > 1:  # one generation holds no outdated step
         post = post.join(now.select("path", "generation"), ["path", "generation"])
     keys = ["path", "step_id", "generation"]
@@ -262,9 +267,22 @@ def lookup(spark: SparkSession, folder: str, query: str, limit: int | None = Non
         hits = hits.orderBy(*order).limit(limit)
     if not snippets:
         return hits.select(*order).orderBy(*order)
+    return attach(spark, folder, query, hits).select(*order, "snippet").orderBy(*order)
+
+
+def ranked(spark: SparkSession, folder: str, query: str, records: DataFrame) -> DataFrame:
+    """Matching steps with the columns of their records, best first and without snippets: for counting, and for cutting a page that ``attach`` completes."""
+    hits = _scored(spark, folder, query)
+    if hits is None:
+        hits = spark.read.parquet(f"{folder}/docs").where("false").select("path", "step_id", "generation", F.lit(0.0).alias("rank"))
+    return hits.join(records.drop("mtime"), "path").orderBy("rank", "path", "step_id")
+
+
+def attach(spark: SparkSession, folder: str, query: str, hits: DataFrame) -> DataFrame:
+    """``hits(path, step_id, generation, ...)`` with their snippets; contents of these steps alone are kept from the scan."""
     docs = spark.read.parquet(f"{folder}/docs").select("path", "step_id", "generation", "content")
     words = search.words_of(text.parse_query(query))
-    return hits.join(docs, ["path", "step_id", "generation"]).select("path", "step_id", "rank", text.snippet(F.col("content"), words).alias("snippet")).orderBy(*order)
+    return hits.join(docs, ["path", "step_id", "generation"]).withColumn("snippet", text.snippet(F.col("content"), words)).drop("content")
 
 
 def _shift(positions: Column, by: int) -> Column:
@@ -294,8 +312,8 @@ def capped(hits: DataFrame, records: DataFrame, steps: DataFrame, query: str, li
 
 @search.register("index", "sqlite")
 def _index(corpus: search.Corpus, query: str) -> DataFrame:
-    hits = lookup(corpus.spark, corpus.folder, query)
-    return hits.join(corpus.records.drop("mtime"), "path").orderBy("rank", "path", "step_id")
+    hits = ranked(corpus.spark, corpus.folder, query, corpus.records)
+    return attach(corpus.spark, corpus.folder, query, hits).drop("generation").orderBy("rank", "path", "step_id")
 
 
 @search.register("candidates", "recoll")

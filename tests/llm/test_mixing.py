@@ -83,6 +83,13 @@ def test_budgets_of_many_leaves_against_recursion(spark):
         assert budgets(spark, leaves, total) == by_recursion(leaves, total)
 
 
+def test_budgets_of_a_hundred_thousand_leaves(spark):
+    rng = random.Random(6)
+    leaves = {(("web", "forum", "more")[i % 3], ("en", "de")[i % 2], f"s{i}"): rng.choice((0, rng.randint(0, 50), rng.randint(0, 1_000_000))) for i in range(100_000)}
+    total = 0.8 * sum(leaves.values())
+    assert budgets(spark, leaves, total) == by_recursion(leaves, total)
+
+
 def brute(rows, ratio, max_epochs):
     leaf = lambda lang, src: (next((d for d, m in TREE.domains.items() if src in m), "reference"), lang or mixing.NONE, src or mixing.NONE)
     have = {}
