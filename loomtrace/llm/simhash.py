@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,8 +16,18 @@ from .exact_dedup import digest
 BITS = 128
 #: Bits in which near copies may differ. Every pair of texts up to so many bits apart is found, and no other one is linked.
 DISTANCE = 21
-#: Signatures of one bucket that are compared in one go; larger buckets are cut into blocks, and each pair of blocks is a unit of its own.
-BLOCK = 4096
+#: Signatures of a tile, about; every pair of tiles is a unit of work.
+TILE = 262_144
+#: Tiles of a smaller table.
+LEAST = 4
+#: Bits of a segment.
+WIDE = 16
+#: Pairs of two buckets from which those known to be linked are left out.
+DENSE = 1 << 18
+#: Pairs that are listed in one go.
+PAIRS = 1 << 19
+#: Signatures whose partners are compared in one go, and those below which pairs are listed.
+SLICE, FEW = 1 << 16, 512
 #: Letters from which a word counts in full; shorter ones are mostly grammar and count little.
 LONG = 4
 SHORT_WEIGHT = 0.1
@@ -106,27 +118,29 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("place"), pa.array(made, pa.binary()), *(pa.array(np.ascontiguousarray(word[:, i]), mask=none) for i in (0, 1))], ["digest", "place", "sig", "w0", "w1"])
 
 
-def segments(k: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of which one differs in at most one bit when at most ``k`` of all bits do."""
-    n = (k + 2) // 2
+def segments(k: int, radius: int = 1) -> list[tuple[int, int]]:
+    """(first bit, bits) of the fewest segments of which one differs in at most ``radius`` bits when at most ``k`` of all bits do."""
+    n = (k + 1 + radius) // (radius + 1)
     cuts = [round(i * BITS / n) for i in range(n + 1)]
     return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
 
 
-def variants(k: int) -> F.Column:
-    """Keys of the one-wildcard variants of every segment: BITS of them, each naming its segment, the bit left out and the others.
+def plan(k: int) -> list[tuple[int, int, list[int]]]:
+    """(first bit, bits, sets of bits to leave out) of each segment.
 
-    A key is a hash, so that segments of any width have keys of 64 bits; what meets by chance is told apart on verification.
+    Signatures at most ``k`` bits apart differ, in some segment, in one of its sets exactly: they are equal without these bits. Segments are
+    about as wide as the number of a tile's signatures has bits, and as many bits are left out as that takes. Of segments so wide
+    that one differs in at most ``r`` bits, some may do with ``r - 1``: all differ in more only if ``k`` is exceeded.
     """
-    keys = []
-    for first, wide in segments(k):
-        whole = ((1 << wide) - 1) << first
-        for bit in range(first, first + wide):
-            mask = whole & ~(1 << bit)
-            words = [(mask >> (64 * i)) & (2**64 - 1) for i in (0, 1)]
-            signed = [w - 2**64 if w >= 2**63 else w for w in words]
-            keys.append(F.xxhash64(F.lit(bit), *(F.col(f"w{i}").bitwiseAND(F.lit(w)) for i, w in enumerate(signed) if w)))
-    return F.array(*keys)
+    radius = k // (BITS // WIDE)
+    cut = segments(k, radius)
+    spare = len(cut) * (radius + 1) - (k + 1)
+    out = []
+    for i, (first, wide) in enumerate(cut):
+        wide = min(wide, WIDE)  # where a segment differs in so many bits at most, its part does too
+        bits = [1 << b for b in range(wide)]
+        out.append((first, wide, [sum(x) for n in range(radius + (i >= spare)) for x in combinations(bits, n)]))
+    return out
 
 
 def within(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -158,92 +172,194 @@ def linked(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.
             return label[moved].astype(np.int64), moved
 
 
-def _pairs(unit: np.ndarray, side: np.ndarray, sig: np.ndarray, k: int):
-    """Edges by row number, of rows in the order of units."""
-    first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-    size = np.diff(np.concatenate((first, [len(unit)])))
-    for n in np.unique(size[size > 1]).tolist():
-        at = first[size == n]
-        if n > 512:
-            for s in at.tolist():
-                one = side[s : s + n] == 0
-                p, q = (np.flatnonzero(one), np.flatnonzero(~one)) if one.any() and not one.all() else (np.arange(n), np.arange(n))
-                i, j = linked(within(sig[s : s + n][p], sig[s : s + n][q], k), p, q)
-                yield s + i, s + j
-            continue
-        step = max(1, 250_000 // (n * n))
-        for s in range(0, len(at), step):
-            rows = at[s : s + step, None] + np.arange(n)
-            word = sig[rows, 0]
-            b, i, j = np.nonzero(np.bitwise_count(word[:, :, None] ^ word[:, None, :]) <= k)
-            later = i < j
-            p, q = rows[b[later], i[later]], rows[b[later], j[later]]
-            near = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1) <= k
-            yield p[near], q[near]
-
-
-def _near(k: int, rows_at_once: int = 200_000):
-    """Over rows (unit, side, w0, w1) in the order of units: edges between the signatures of a unit, as stars."""
-
-    def edges(found):
-        both = np.concatenate([np.concatenate([f[i] for f in found]) for i in (0, 1)]) if found else np.empty((0, 2), np.uint64)
-        order = np.lexsort((both[:, 1], both[:, 0]))
-        new = np.ones(len(both), bool)
-        new[1:] = (both[order][1:] != both[order][:-1]).any(axis=1)
-        number = np.empty(len(both), np.int64)
-        number[order] = np.cumsum(new) - 1
-        names = both[order][new]
-        i, j = c.stars(number[: len(both) // 2], number[len(both) // 2 :])
-        return pa.RecordBatch.from_arrays([pa.array([names[x].tobytes() for x in v.tolist()], pa.binary()) for v in (i, j)], ["a", "b"])
+def _values(sig: np.ndarray, first: int, wide: int) -> np.ndarray:
+    """The bits of a segment as numbers."""
+    word, at = divmod(first, 64)
+    held = sig[:, word] >> np.uint64(at)
+    if at + wide > 64:
+        held = held | (sig[:, word + 1] << np.uint64(64 - at))
+    return (held & np.uint64((1 << wide) - 1)).astype(np.int64)
+
+
+class _Groups:
+    """Groups of signatures that have been linked, by the least row number."""
+
+    def __init__(self, sig: np.ndarray, k: int):
+        self.sig, self.k = sig, k
+        self.label = np.arange(len(sig))
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.found.append((i, j))
+            self.waiting += len(i)
+            if self.waiting > 1_000_000:
+                self.merge()
+
+    def merge(self) -> None:
+        if self.found:
+            i, j = (self.label[np.concatenate([f[n] for f in self.found])] for n in (0, 1))
+            root, leaf = c.stars(i, j)
+            to = np.arange(len(self.label))
+            to[leaf] = root
+            self.label = to[self.label]
+            self.found, self.waiting = [], 0
+
+    def all_pairs(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Compare the rows ``p`` with the rows ``q``."""
+        step = max(1, PAIRS // max(1, len(q)))
+        for s in range(0, len(p) if len(q) else 0, step):
+            self.add(*linked(within(self.sig[p[s : s + step]], self.sig[q], self.k), p[s : s + step], q))
+
+    def many(self, p: np.ndarray, q: np.ndarray) -> None:
+        """The same for many rows, of which those in the largest group are not compared with one another. Groups grow by what is near
+        a few rows first, so that a large set of near copies takes no square of its number."""
+        while len(p) * len(q) > DENSE:
+            both = np.concatenate((p, q))
+            for at in both[np.linspace(0, len(both) - 1, 8).astype(int)].tolist():
+                near = both[np.bitwise_count(self.sig[both] ^ self.sig[at]).sum(axis=1) <= self.k]
+                self.add(np.full(len(near), at), near)
+            self.merge()
+            names, count = np.unique(self.label[both], return_counts=True)
+            if count.max() * 20 < len(both):
+                break
+            top = names[count.argmax()]
+            one, other = self.label[p] == top, self.label[q] == top
+            self.all_pairs(p[one], q[~other])
+            self.all_pairs(p[~one], q[other])
+            p, q = p[~one], q[~other]
+        self.all_pairs(p, q)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, at: np.ndarray, count: np.ndarray, k: int):
+    """Positions in ``x`` and ``y`` of words at most ``k`` bits apart, where ``x[i]`` meets ``count[i]`` words of ``y`` from ``at[i]`` on.
+
+    All first ones are compared in one go, then all second ones, and so on; where few are left, their pairs are listed.
+    """
+    kind = np.uint16 if len(count) and count.max() < 1 << 16 else np.int64  # numbers of 16 bits have a linear sort
+    order = np.argsort(count.astype(kind), kind="stable")[::-1]
+    order = order[: np.count_nonzero(count)]
+    x, at, count = x.take(order), at.take(order), count.take(order)
+    left = len(count) - np.searchsorted(count[::-1], np.arange(1, int(count[0]) + 1)) if len(count) else []
+    done = 0
+    for done, m in enumerate([*left, 0]):
+        if m < FEW:
+            break
+        hit = np.flatnonzero(np.bitwise_count(y.take(at[:m] + done) ^ x[:m]) <= k)
+        if len(hit):
+            yield order[hit], at[hit] + done
+    m = int(left[done]) if done < len(left) else 0
+    some = count[:m] - done
+    ends = np.cumsum(some)
+    cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)).tolist() if m else []
+    for s, e in zip([0, *cuts], [*cuts, m]):
+        if s < e:
+            behind = ends[s:e] - (ends[s - 1] if s else 0)
+            j = np.repeat(at[s:e] + done - (behind - some[s:e]), some[s:e])
+            j += np.arange(len(j))
+            hit = np.flatnonzero(np.bitwise_count(np.repeat(x[s:e], some[s:e]) ^ y[j]) <= k)
+            yield order[s + np.searchsorted(behind, hit, side="right")], j[hit]
+
+
+def _join(sig: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of each row of ``sig`` the least row of its group, by links of at most ``k`` bits between the first ``n`` rows and the others; among all if there are no others."""
+    groups = _Groups(sig, k)
+    same = n == len(sig)
+    rows, others = np.arange(n), np.arange(0 if same else n, len(sig))
+    steps = plan(k)
+    if min(n, len(sig) - n or n) < 2 * sum(len(masks) for _, _, masks in steps):
+        groups.many(rows, rows if same else others)
+        groups.merge()
+        return groups.label
+    for first, wide, masks in steps:
+        value = _values(sig, first, wide)
+        p = rows[np.argsort(value[rows], kind="stable")]
+        q = p if same else others[np.argsort(value[others], kind="stable")]
+        mine = value[p]
+        size = np.bincount(value[q], minlength=1 << wide)
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        own = size if same else np.bincount(mine, minlength=1 << wide)
+        begin = start if same else np.concatenate(([0], np.cumsum(own)[:-1]))
+        most = int(own.max()) * int(size.max())
+        # the word that holds less of the segment tells more; if it holds none, it has less left to differ in
+        test = 1 if first + wide // 2 < 64 else 0
+        apart = first // 64 == (first + wide - 1) // 64
+        (x, y), (x2, y2) = ([np.ascontiguousarray(sig[v, w]) for v in (p, q)] for w in (test, 1 - test))
+        for mask in masks:
+            to = mine ^ mask
+            count, at = size.take(to), start.take(to)
+            low = 1 << (mask.bit_length() - 1) if same and mask else 0
+            if low:  # each pair of buckets once
+                count = np.where(mine & low, 0, count)
+            if same and not mask:  # each with those behind it
+                at = np.arange(1, n + 1)
+                count = start[to] + count - at
+            if most > DENSE:
+                large = np.flatnonzero(own * size[np.arange(1 << wide) ^ mask] > DENSE)
+                large = large[large & low == 0]
+                count = np.where(np.isin(mine, large), 0, count)
+                for v in large.tolist():
+                    w = v ^ mask
+                    groups.many(p[begin[v] : begin[v] + own[v]], q[start[w] : start[w] + size[w]])
+            for s in range(0, n, SLICE):
+                for i, j in _meet(x[s : s + SLICE], y, at[s : s + SLICE], count[s : s + SLICE], k - mask.bit_count() * apart):
+                    i = i + s
+                    near = np.bitwise_count(x.take(i) ^ y.take(j)) + np.bitwise_count(x2.take(i) ^ y2.take(j)) <= k
+                    groups.add(p[i[near]], q[j[near]])
+        groups.merge()
+    return groups.label
+
+
+def _near(k: int):
+    """Over rows (unit, side, w0, w1) in the order of units and sides: edges between the signatures of a unit, as stars."""
+
+    def work(rows):
+        sig = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        n = int(np.count_nonzero(rows[:, 1] == 0))
+        if n == 0 or len(sig) == 1:
+            return
+        label = _join(sig, n, k) if n < len(sig) or rows[0, 0] < 0 else np.arange(n)
+        leaf = np.flatnonzero(label != np.arange(len(label)))
+        names = [pa.array([x.tobytes() for x in sig[v]], pa.binary()) for v in (label[leaf], leaf)]
+        yield pa.RecordBatch.from_arrays(names, ["a", "b"])
 
     def run(batches):
         held: list[np.ndarray] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def work(rows):
-            sig = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-            found.extend((sig[i], sig[j]) for i, j in _pairs(rows[:, 0], rows[:, 1], sig, k) if len(i))
-
         for batch in batches:
-            held.append(np.stack([batch.column(f).to_numpy() for f in ("unit", "side", "w0", "w1")], 1))
-            if sum(map(len, held)) >= rows_at_once:
-                rows = np.concatenate(held)
-                cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last unit may go on
-                work(rows[:cut])
-                held = [rows[cut:]]
-            if sum(len(a) for a, _ in found) > 1_000_000:
-                yield edges(found)
-                found.clear()
+            rows = np.stack([batch.column(f).to_numpy() for f in ("unit", "side", "w0", "w1")], 1)
+            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            for some in np.split(rows, cuts):
+                if held and len(some) and held[-1][0, 0] != some[0, 0]:
+                    yield from work(np.concatenate(held))
+                    held = []
+                if len(some):
+                    held.append(some)
         if held:
-            work(np.concatenate(held))
-        yield edges(found)
+            yield from work(np.concatenate(held))
 
     return run
 
 
-def near_edges(sigs: DataFrame, k: int = DISTANCE, block: int = BLOCK, part: int = 16) -> DataFrame:
+def near_edges(sigs: DataFrame, k: int = DISTANCE, tile: int = TILE, least: int = LEAST) -> DataFrame:
     """Edges (a, b) between distinct signatures, given as two words; their components are those of all pairs at most ``k`` bits apart.
 
-    Of so few segments that one differs in at most one bit, every one-wildcard variant is a key; the equality of keys is
-    the join. Signatures that share a key are compared by XOR and bit count, in the order of keys and one bucket at a time. Buckets of
-    more than ``block`` signatures are cut into blocks by a hash, and every pair of blocks is a unit of its own, so that no
-    bucket is one task. How large buckets are is told from one in ``part`` signatures; that settles the cut alone, since every
-    pair of a bucket meets in some unit however it is cut.
+    Signatures are cut by a hash into tiles of about ``tile``, ``least`` of them at least, and every pair of tiles is a unit of work. In a
+    unit, those meet that are equal in a segment without the bits they differ in there (see ``plan``), and are compared by XOR and bit
+    count. Every pair of signatures is in one unit. A signature is sent once for each tile.
     """
-    tasks = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = sigs.where(F.pmod(F.xxhash64("w0", "w1"), F.lit(part)) == 0).select(F.explode(variants(k)).alias("key"))
-    hot = some.groupBy("key").agg((F.count("*") * part).alias("n")).where(F.col("n") > block)
-    hot = c.checkpoint(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "buckets")
-    keyed = sigs.repartition(tasks, "w0", "w1").select("w0", "w1", F.explode(variants(k)).alias("key"))
-    units = keyed.select(F.col("key").alias("unit"), F.lit(0).cast("long").alias("side"), "w0", "w1")
-    if not hot.isEmpty():
-        both = keyed.join(c.small(hot), "key", "left")
-        own = F.pmod(F.xxhash64("w0", "w1", F.lit(1)), F.col("parts"))
-        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-        both = both.select("key", "w0", "w1", own.alias("own"), other.alias("other"))
-        unit = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        units = both.select(unit.alias("unit"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "w0", "w1")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_near(k), "a binary, b binary")
+    tiles = max(least, -(-sigs.count() // tile))
+    parts = min(tiles * (tiles + 1) // 2, int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own, other = F.pmod(F.xxhash64("w0", "w1"), F.lit(tiles)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
+    both = sigs.select("w0", "w1", own.alias("own"), other.alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    number = high * (high + 1) / 2 + low
+    # a tile with itself has a number below 0
+    unit = F.when(F.col("own") == F.col("other"), -1 - number).otherwise(number).cast("long")
+    side = F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long")
+    units = both.select(unit.alias("unit"), side.alias("side"), "w0", "w1")
+    placed = units.repartitionById(parts, F.pmod(F.when(F.col("unit") < 0, -1 - F.col("unit")).otherwise(F.col("unit")), F.lit(parts)).cast("int"))
+    return placed.sortWithinPartitions("unit", "side").mapInArrow(_near(k), "a binary, b binary")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = DISTANCE) -> DataFrame:

@@ -128,6 +128,72 @@ def test_signatures_within_the_distance_share_a_variant(k):
         assert any(((flips >> first) & ((1 << wide) - 1)).bit_count() <= 1 for first, wide in cut)
 
 
+@pytest.mark.parametrize("k", [0, 1, 3, 7, 8, 15, 21, 30])
+def test_signatures_within_the_distance_meet_in_a_segment(k):
+    rng = random.Random(k)
+    steps = [(first, wide, set(masks)) for first, wide, masks in simhash.plan(k)]
+    for _ in range(300):
+        flips = sum(1 << i for i in rng.sample(range(simhash.BITS), k))
+        assert any((flips >> first) & ((1 << wide) - 1) in masks for first, wide, masks in steps)
+
+
+def flipped(rng, sigs, most):
+    """Each signature with ``most`` bits changed at most."""
+    out = sigs.copy()
+    for row in out:
+        for bit in rng.choice(128, most, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_few_of_all_pairs_of_signatures_are_compared(monkeypatch, sides):
+    rng = np.random.default_rng(sides)
+    n = 24_000
+    sigs = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+    sigs[n // 2 : n // 2 + 600] = flipped(rng, sigs[:600], 21)
+    sigs[n // 2 + 600 : n // 2 + 1200] = flipped(rng, sigs[600:1200], 22)
+    compared, listed, dense = [], simhash._meet, simhash.within
+    monkeypatch.setattr(simhash, "_meet", lambda x, y, at, count, k: (compared.append(int(count.sum())), listed(x, y, at, count, k))[1])
+    monkeypatch.setattr(simhash, "within", lambda x, y, k: (compared.append(len(x) * len(y)), dense(x, y, k))[1])
+    label = simhash._join(sigs, n // sides, 21)
+    assert sorted(np.flatnonzero(label != np.arange(n))) == list(range(n // 2, n // 2 + 600))
+    assert (label[n // 2 : n // 2 + 600] == np.arange(600)).all()
+    assert sum(compared) < 0.01 * n * n  # one-wildcard variants of 11 segments compared 0.08
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_many_near_copies_are_linked_without_comparing_all(monkeypatch, sides):
+    rng = np.random.default_rng(sides)
+    n = 30_000
+    sigs = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+    near = rng.permutation(n)[: n // 2]
+    sigs[near] = flipped(rng, np.repeat(sigs[near[:1]], len(near), axis=0), 4)
+    compared, dense = [], simhash.within
+    monkeypatch.setattr(simhash, "within", lambda x, y, k: (compared.append(len(x) * len(y)), dense(x, y, k))[1])
+    label = simhash._join(sigs, n // sides, 21)
+    assert set(label[near]) == {near.min()} and len(set(label.tolist())) == n - len(near) + 1
+    assert sum(compared) < 0.5 * len(near) ** 2
+
+
+def test_groups_across_tiles_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, (900, 2), dtype=np.uint64)
+    sigs = np.unique(np.concatenate((base, flipped(rng, base[:300], 12), flipped(rng, base[:300], 21))), axis=0)
+    df = spark.createDataFrame(sigs.view(np.int64).tolist(), "w0 long, w1 long")
+    names = [s.tobytes() for s in sigs]
+    groups = brute_groups(names, 21)
+    for tile, least in ((10_000, 1), (400, 1), (100, 3)):
+        comp = {r.node: r.comp for r in common.components(simhash.near_edges(df, 21, tile, least)).collect()}
+        got = {}
+        for i, s in enumerate(names):
+            got.setdefault(bytes(comp.get(s, s)), []).append(i)
+        want = {}
+        for i, g in enumerate(groups):
+            want.setdefault(g, []).append(i)
+        assert sorted(got.values()) == sorted(want.values())
+
+
 def test_simhash_dedup_of_odd_rows(spark):
     rng = random.Random(4)
     rows = odd(rng)
