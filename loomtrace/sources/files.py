@@ -1,15 +1,18 @@
 """Session files as lines.
 
 Files are listed by the driver through Hadoop's file system, since which folders count is a rule of paths and not of
-content; lines are read by Spark. ``line_no`` counts physical lines from 0, blank ones included.
+content; folders of the local file system are walked without it. Files are dealt to tasks by their number and size, which
+neither lists a folder again nor takes a task per file. ``line_no`` counts physical lines from 0, blank ones included.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,24 +41,48 @@ STORES = {
 }
 SCHEMA = "path string, mtime double, size long, ord long"
 
+#: Files and bytes that a task reads, and signs of lines that it hands on at a time.
+FILES, BYTES, SIGNS = 1000, 32 << 20, 4 << 20
+
 
 def _pattern(glob: str) -> re.Pattern:
     parts = [re.escape(p).replace(r"\*", "[^/]*") if p != "**" else "**" for p in glob.split("/")]
     return re.compile("/".join(parts).replace("**/", "(?:.*/)?") + r"\Z")
 
 
-def list_files(spark: SparkSession, root: str, globs: tuple[str, ...]) -> list[tuple[str, float, int]]:
-    """(path, mtime in seconds, size) of files below ``root`` that fit a pattern: in the order of patterns, then of paths, each once."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root if "://" in root else "file://" + os.path.abspath(os.path.expanduser(root)))
+def _listed(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, float, int]]]:
+    """A folder's path and all files below it, by Hadoop's file system."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    found, it = [], fs.listFiles(base, True)
     top = base.toUri().getPath().rstrip("/")
-    while it.hasNext():
-        f = it.next()
-        found.append((f.getPath().toUri().getPath(), f.getModificationTime() / 1000, f.getLen()))
+    found: list[tuple[str, float, int]] = []
+    if fs.exists(base):
+        it = fs.listFiles(base, True)
+        while it.hasNext():
+            f = it.next()
+            found.append((f.getPath().toUri().getPath(), f.getModificationTime() / 1000, f.getLen()))
+    return top, found
+
+
+def _walked(top: str) -> Iterator[tuple[str, float, int]]:
+    """All files below a local folder, through links too; what vanishes meanwhile is left out."""
+    for where, _, names in os.walk(top, followlinks=True):
+        for name in names:
+            path = f"{where}/{name}"
+            try:
+                told = os.stat(path)
+            except OSError:
+                continue
+            yield path, told.st_mtime_ns // 1_000_000 / 1000, told.st_size
+
+
+def list_files(spark: SparkSession, root: str, globs: tuple[str, ...]) -> list[tuple[str, float, int]]:
+    """(path, mtime in seconds, size) of files below ``root`` that fit a pattern: in the order of patterns, then of paths, each once."""
+    if "://" in root and not root.startswith("file://"):
+        top, found = _listed(spark, root)
+    else:
+        top = os.path.abspath(os.path.expanduser(root.removeprefix("file://"))).rstrip("/")
+        found = list(_walked(top))
     out: dict[str, tuple[str, float, int]] = {}
     for glob in globs:
         fits = _pattern(glob)
@@ -85,14 +112,51 @@ def project_files(spark: SparkSession, home: str, folder: str) -> DataFrame:
     return spark.createDataFrame([(*f, i) for i, f in enumerate(found)], SCHEMA)
 
 
+def _read(batches):
+    """Texts of local files, cut into lines; a batch of lines ends after ``SIGNS`` signs."""
+    path, number, value, held = [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(number, pa.int64()), pa.array(value, pa.string())], ["path", "line_no", "value"])
+
+    for b in batches:
+        for p in b.column("path").to_pylist():
+            with open(p, "rb") as f:
+                content = f.read().decode("utf-8", "replace")
+            for i, line in enumerate(re.split("\r\n|\n|\r", content)):
+                path.append(p)
+                number.append(i)
+                value.append(line)
+                held += len(line) + 100
+                if held > SIGNS:
+                    yield batch()
+                    path, number, value, held = [], [], [], 0
+    yield batch()
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, line_no, value) of text files: one row per file read whole, so that lines keep their number."""
-    if not paths:
-        return spark.createDataFrame([], "path string, line_no long, value string")
-    read = spark.read.text(["file://" + p if "://" not in p else p for p in paths], wholetext=True)
-    named = read.select(F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path"), "value")
+    """(path, line_no, value) of text files: each file is read whole, so that lines keep their number."""
+    paths = list(dict.fromkeys(paths))
+    local = [p.removeprefix("file://") for p in paths if "://" not in p or p.startswith("file://")]
+    out = _local_lines(spark, local)
+    others = [p for p in paths if "://" in p and not p.startswith("file://")]
+    if not others:
+        return out
+    read = spark.read.text(others, wholetext=True)
+    named = read.select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), "value")
     cut = named.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("line_no", "value"))
-    return cut.withColumn("line_no", F.col("line_no").cast("long"))
+    return out.unionByName(cut.withColumn("line_no", F.col("line_no").cast("long")))
+
+
+def _local_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    schema = "path string, line_no long, value string"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    size = {p: os.path.getsize(p) for p in paths}
+    n = min(len(paths), max(spark.sparkContext.defaultParallelism, -(-len(paths) // FILES), -(-sum(size.values()) // BYTES)))
+    paths = sorted(paths, key=lambda p: (-size[p], p))
+    dealt = [p for i in range(n) for p in paths[i::n]]  # each task has large and small ones
+    return spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in dealt], n), "path string").mapInArrow(_read, schema)
 
 
 def sniff(line: DataFrame) -> DataFrame:

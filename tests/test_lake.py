@@ -109,6 +109,20 @@ def test_stores_and_configuration(spark, home, tmp_path, monkeypatch):
     assert {os.path.basename(r.path): r.fmt for r in files.sniff(lines).collect()} == {"s.jsonl": "codex", "t.jsonl": "claude"}
 
 
+def test_many_files_are_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i:03}.jsonl").write_bytes(b"a\r\nb\rc\xff\n" if i else b"")
+    found = [p for p, *_ in files.list_files(spark, str(tmp_path), ("*.jsonl",))]
+    sc = spark.sparkContext
+    sc.setJobGroup("few-tasks", "")
+    got = files.lines(spark, found).collect()
+    sc._jsc.clearJobGroup()
+    tracker = sc.statusTracker()
+    stages = [k for j in tracker.getJobIdsForGroup("few-tasks") for k in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(k).numTasks for k in stages) <= 16  # neither lists folders nor takes a task for a file or 32 of them
+    assert len(got) == 199 * 4 + 1 and [(r.line_no, r.value) for r in sorted(got) if r.path == found[1]] == [(0, "a"), (1, "b"), (2, "c\ufffd"), (3, "")]
+
+
 def test_command_line(spark, home, capsys, monkeypatch):
     monkeypatch.setattr(config, "load", lambda path=None: {})
 
