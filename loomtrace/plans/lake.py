@@ -51,6 +51,12 @@ class Lake:
         read = {k: self._lines(f) for k, f in self._files.items()}
         return {k: sessions.events(lines, k) for k, lines in read.items() if lines is not None}
 
+    def _parse(self, lines: DataFrame, fmt: str, fall: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(steps, trajectories) of lines. They are decoded once, into the shared folder: what follows reads events several times over."""
+        ev = self._kept(sessions.events(lines, fmt), f"events-{fmt}")
+        step = sessions.steps(ev, fmt, fall)
+        return step, sessions.trajectories(ev, step, fmt)
+
     @cached_property
     def _extra_kinds(self) -> DataFrame:
         return self._kept(files.sniff(self._lines(self._extra)), "kinds")
@@ -101,12 +107,12 @@ class Lake:
         for k, found in self._files.items():
             lines = self._lines(found if only is None else mine(found))
             if lines is not None:
-                pairs.append(sessions.parse(lines, k, fall))
+                pairs.append(self._parse(lines, k, fall))
         kinds = self._extra.join(self._extra_kinds, "path") if self._extra_formats else None
         for k in self._extra_formats:
             lines = self._lines(mine(kinds.where(F.col("fmt") == k)))
             if lines is not None:
-                pairs.append(sessions.parse(lines, k, fall))
+                pairs.append(self._parse(lines, k, fall))
         for k, parse in (("hermes", sessions.hermes), ("copilot_db", sessions.copilot_db)):
             head, rows = self._stores[k].values()
             named = lambda df, key: mine(df.withColumn("_path", F.concat(F.lit(f"{k}:"), key)), "_path").drop("_path")  # noqa: B023, E731
@@ -117,7 +123,7 @@ class Lake:
         if held:
             keys = self.spark.createDataFrame(held, "key string, file string")
             lines = files.lines(self.spark, [f for _, f in held]).join(F.broadcast(keys), F.col("path") == F.col("file")).select(F.col("key").alias("path"), "line_no", "value")  # a row per thread without its own file
-            pairs.append(sessions.parse(lines, "codex", fall))
+            pairs.append(self._parse(lines, "codex", fall))
         step, traj = pairs[0]
         for s, t in pairs[1:]:
             step, traj = step.unionByName(s), traj.unionByName(t, allowMissingColumns=True)
@@ -125,16 +131,15 @@ class Lake:
 
     @cached_property
     def _parsed(self) -> tuple[DataFrame, DataFrame]:
-        step, traj = self.parse()
-        return self._kept(step, "steps"), self._kept(traj, "trajectories")
+        return self.parse()
 
-    @property
+    @cached_property
     def steps(self) -> DataFrame:
-        return self._parsed[0]
+        return self._kept(self._parsed[0], "steps")
 
-    @property
+    @cached_property
     def trajectories(self) -> DataFrame:
-        return self._parsed[1]
+        return self._kept(self._parsed[1], "trajectories")
 
     def one(self, record: dict) -> tuple[DataFrame, dict | None]:
         """(steps, trajectory) of a single record, read from its own file or rows; the trajectory is None where it can't be parsed."""

@@ -123,6 +123,15 @@ def test_many_files_are_few_tasks(spark, tmp_path):
     assert len(got) == 199 * 4 + 1 and [(r.line_no, r.value) for r in sorted(got) if r.path == found[1]] == [(0, "a"), (1, "b"), (2, "c\ufffd"), (3, "")]
 
 
+def test_lines_are_decoded_once(spark, tmp_path):
+    where = put(tmp_path / ".claude/projects/-w/one.jsonl", [{"type": "user", "message": {"content": "hello"}}, {"type": "assistant", "message": {"model": "m", "content": [{"type": "text", "text": "well"}]}}])
+    mine = Lake(spark, str(tmp_path), settings={})
+    mine.records
+    step, traj = mine.parse()
+    os.remove(where)  # what makes steps and trajectories reads decoded events, not files
+    assert sorted((r.step_id, r.message) for r in step.collect()) == [(1, "hello"), (2, "well")] and traj.first().n_steps == 2
+
+
 def test_command_line(spark, home, capsys, monkeypatch):
     monkeypatch.setattr(config, "load", lambda path=None: {})
 
