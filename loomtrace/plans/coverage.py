@@ -310,7 +310,7 @@ def blame_file(spark, sf_dir):
     call = F.array(_s(function_name="Write", arguments_json=F.to_json(_s(file_path=path, content=T()))))
     step = d.select(_str("doc_id").alias("path"), F.lit(1).alias("step_id"), F.lit("agent").alias("source"), F.lit("").alias("timestamp"), call.alias("tool_calls"))
     rec = d.select(_str("doc_id").alias("path"), F.concat(F.lit("d"), _str("doc_id")).alias("id"), F.lit("claude").alias("agent"), F.col("doc_id").alias("disc_ord"), F.lit("2026").alias("timestamp"), T().alias("first_msg"))
-    return edits.blame(rec, step, "/w/p/src3").select("agent", "id", "op", "lines_added", "chars_added", "delta", "first_msg")
+    return edits.blame(rec, step, "/w/p/src3", "newlines").select("agent", "id", "op", "lines_added", "chars_added", "delta", "first_msg")
 
 
 # ── rendering ─────────────────────────────────────────────────────────────────

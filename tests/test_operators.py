@@ -232,3 +232,17 @@ def test_rendering(spark):
     assert render.pages(["a", "b", "c"], -1, 2, "H", "steps", "F").splitlines()[0] == "<!-- page 2/2 | steps 3–3 of 3 -->"
     with pytest.raises(ValueError, match="out of range"):
         render.pages([], 2, 2, "", "steps")
+
+
+def test_lines_of_queries_are_those_of_their_sql(spark, tmp_path):
+    import __spark_entry__
+    import duckdb
+
+    texts = ["a\n", "", "\n", "a\rb", "a\r\nb\n", "x\u2028y\x0bz\x85", "++a\n+b", "one\ntwo"]
+    spark.createDataFrame([(i, t, "en", "src3") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("line_counts", "blame_write", "blame_edit", "blame_multi", "blame_replace", "blame_patch", "blame_unified", "blame_file"):
+        got = __spark_entry__.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
