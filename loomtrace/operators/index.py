@@ -23,6 +23,8 @@ from . import search
 #: Buckets of terms, and parts by path into which each is cut, so that no word is one task. More for larger corpora.
 BUCKETS, PARTS = 64, 4
 K1, B = 1.2, 0.75
+#: Tokens whose postings a task makes at a time.
+TOKENS = 1 << 19
 
 
 def _folds() -> tuple[str, str]:
@@ -141,24 +143,42 @@ def stale(records: DataFrame, folder: str, force: bool = False) -> DataFrame:
     return now.join(latest(records.sparkSession, folder).where("mtime <> 0").select("path", "mtime"), ["path", "mtime"], "left_anti")
 
 
+def _slices(size: np.ndarray, most: int = TOKENS) -> list[tuple[int, int]]:
+    """Runs of rows of at most ``most`` tokens together, or a single row."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and held + n > most:
+            out.append((first, i))
+            first, held = i, 0
+        held += n
+    return [*out, (first, len(size))] if len(size) > first else out
+
+
+def _block(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (path, step_id, toks) to one row for each word of each step, by term. A word's places are told apart by sorting numbers."""
+    lists = b.column("toks")
+    size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().dictionary_encode()
+    code = flat.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    pos = (np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    order = np.lexsort((row, code))  # stable: places stay in order
+    row, code, pos = row[order], code[order], pos[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
+    ends = np.concatenate((first, [len(row)])).astype(np.int32)
+    at = pa.array(row[first])
+    return pa.RecordBatch.from_arrays(
+        [flat.dictionary.take(pa.array(code[first])), b.column("path").take(at), b.column("step_id").take(at), pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos))],
+        ["term", "path", "step_id", "n", "tf", "positions"],
+    )
+
+
 def _postings(batches):
-    """Rows (path, step_id, toks) to one row for each word of each step. A word's places are told apart by sorting numbers, batch by batch."""
+    """Postings of (path, step_id, toks), from ``TOKENS`` tokens at a time."""
     for b in batches:
-        lists = b.column("toks")
-        size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-        flat = lists.flatten().dictionary_encode()
-        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(size)), size)
-        pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.lexsort((pos, code, row))
-        row, code, pos = row[order], code[order], pos[order]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
-        ends = np.concatenate((first, [len(row)])).astype(np.int32)
-        at = pa.array(row[first])
-        yield pa.RecordBatch.from_arrays(
-            [flat.dictionary.take(pa.array(code[first])), b.column("path").take(at), b.column("step_id").take(at), pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))],
-            ["term", "path", "step_id", "n", "tf", "positions"],
-        )
+        size = pc.list_value_length(b.column("toks")).fill_null(0).to_numpy(zero_copy_only=False)
+        for first, end in _slices(size):
+            yield _block(b.slice(first, end - first))
 
 
 def build(records: DataFrame, steps: DataFrame, folder: str, force: bool = False, buckets: int = BUCKETS, parts: int = PARTS) -> tuple[int, int]:

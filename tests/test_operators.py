@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,14 @@ def test_lines_of_queries_are_those_of_their_sql(spark, tmp_path):
         got = __spark_entry__.queries()[name](spark, str(tmp_path))
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want), name
+
+
+def test_postings_are_made_a_few_texts_at_a_time(monkeypatch):
+    toks = [["b", "a", "b"], [], ["c"] * 9, None, ["a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("vwxyz")), pa.array([1] * 5, pa.int32()), pa.array(toks, pa.list_(pa.string()))], ["path", "step_id", "toks"])
+    assert index._slices(np.array([3, 0, 9, 0, 2]), 4) == [(0, 2), (2, 3), (3, 5)]
+    assert index._slices(np.array([], int)) == []
+    rows = lambda made: sorted((r["path"], r["term"], r["n"], r["tf"], r["positions"]) for b in made for r in b.to_pylist())
+    assert rows(index._postings([batch])) == sorted((p, t, len(ts), ts.count(t), [i for i, x in enumerate(ts) if x == t]) for p, ts in zip("vwxyz", toks) if ts for t in set(ts))
+    monkeypatch.setattr(index, "_slices", lambda size: [(0, 2), (2, 5)])
+    assert len(list(index._postings([batch]))) == 2
