@@ -1,6 +1,6 @@
 """An inverted index over steps: whole words, phrases and BM25, kept as Parquet.
 
-Layout of an index folder: ``docs`` (path, step_id, content), ``postings`` (term, path, step_id, n tokens of the step, tf, positions),
+Layout of an index folder: ``docs`` (path, step_id, content, n tokens), ``postings`` (term, path, step_id, n tokens of the step, tf, positions),
 partitioned by a hash of the term so that a query reads the buckets of its own words only, and ``records`` (path, mtime,
 docs, tokens), partitioned by generation, for the incremental build and the sums that BM25 needs. ``buckets=N`` names
 the number of buckets.
@@ -9,6 +9,7 @@ the number of buckets.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,11 @@ from ..functions import text
 from ..plans import scratch
 from . import search
 
-#: Buckets of terms, and parts by path into which each is cut, so that no word is one task. More for larger corpora.
+#: Buckets of terms, and parts by text into which each is cut, so that no word is one task. More for larger corpora.
 BUCKETS, PARTS = 64, 4
 K1, B = 1.2, 0.75
 #: Tokens whose postings a task makes at a time.
-TOKENS = 1 << 19
+TOKENS = 1 << 20
 
 
 def _folds() -> tuple[str, str]:
@@ -167,10 +168,11 @@ def _block(b: pa.RecordBatch) -> pa.RecordBatch:
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
     ends = np.concatenate((first, [len(row)])).astype(np.int32)
     at = pa.array(row[first])
-    return pa.RecordBatch.from_arrays(
-        [flat.dictionary.take(pa.array(code[first])), b.column("path").take(at), b.column("step_id").take(at), pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos))],
-        ["term", "path", "step_id", "n", "tf", "positions"],
-    )
+    columns = [flat.dictionary.take(pa.array(code[first])), b.column("path").take(at), b.column("step_id").take(at), pa.array(size[row[first]].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos))]
+    names = ["term", "path", "step_id", "n", "tf", "positions"]
+    if "buckets" in b.schema.names:
+        columns, names = [*columns, b.column("buckets").flatten().take(pa.array(order[first]))], [*names, "bucket"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _postings(batches):
@@ -181,13 +183,50 @@ def _postings(batches):
             yield _block(b.slice(first, end - first))
 
 
+def _packed(parts: int):
+    """(bucket, part, block) from (path, step_id, toks, buckets): a run's postings of each bucket as one compressed Arrow stream. The part is told by the run's first path."""
+
+    def run(batches):
+        for b in batches:
+            size = pc.list_value_length(b.column("toks")).fill_null(0).to_numpy(zero_copy_only=False)
+            for first, end in _slices(size):
+                rows = b.slice(first, end - first)
+                post = _block(rows)
+                bucket = post.column("bucket").to_numpy()
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                at, blocks = [], []
+                for i, j in zip(edges[:-1], edges[1:]) if len(order) else ():
+                    some = post.take(pa.array(order[i:j])).drop_columns(["bucket"])
+                    some = pa.RecordBatch.from_arrays([c.dictionary_encode() if k in ("term", "path") else c for k, c in zip(some.schema.names, some.columns)], some.schema.names)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(some)
+                    at.append(int(bucket[order[i]]))
+                    blocks.append(sink.getvalue().to_pybytes())
+                part = zlib.crc32(rows.column("path")[0].as_py().encode()) % parts
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "part", "block"])
+
+    return run
+
+
+def _unpacked(batches):
+    """Rows (bucket, block) to postings, a block at a time."""
+    for b in batches:
+        for bucket, block in zip(b.column("bucket").to_pylist(), b.column("block")):
+            for some in pa.ipc.open_stream(block.as_buffer()):
+                cols = [c.dictionary_decode() if pa.types.is_dictionary(c.type) else c for c in some.columns]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(some), bucket, np.int32))], [*some.schema.names, "bucket"])
+
+
 def build(records: DataFrame, steps: DataFrame, folder: str, force: bool = False, buckets: int = BUCKETS, parts: int = PARTS) -> tuple[int, int]:
     """Index the steps of ``records(path, mtime, ...)`` that are new or changed; (indexed, skipped).
 
     A record is skipped if its time is known and the same as before. Sessions that vanished stay in the index. Each
     build appends a generation; reading takes each session's latest, so that nothing is rewritten in place and a build
-    that fails leaves the index as it was: the generation counts once its ``records`` are written, last. Texts are cut into
-    words once; what is shuffled are postings, once, by bucket and part.
+    that fails leaves the index as it was: the generation counts once its ``records`` are written, last. What is shuffled are
+    postings in compressed blocks, once, by bucket and part; texts are cut into words a second time to count them, so
+    that no words are written.
     """
     spark = records.sparkSession
     todo = scratch.keep(stale(records, folder, force), "todo")
@@ -197,20 +236,21 @@ def build(records: DataFrame, steps: DataFrame, folder: str, force: bool = False
     if n:
         buckets = _layout(spark, folder) if done else buckets
         docs = steps.join(todo.select("path"), "path", "left_semi").select("path", "step_id", F.array_join(search.blobs(), "\n").alias("content")).where(~text.is_blank(F.col("content")))
-        docs.withColumn("generation", F.lit(generation)).write.mode("append").parquet(f"{folder}/docs")
-        own = spark.read.parquet(f"{folder}/docs").where(F.col("generation") == generation)
-        toks = scratch.keep(own.select("path", "step_id", tokens(F.col("content")).alias("toks")), "tokens")
-        post = toks.mapInArrow(_postings, f"term string, path string, step_id {steps.schema['step_id'].dataType.simpleString()}, n int, tf int, positions array<int>")
-        post = post.withColumns({"generation": F.lit(generation), "bucket": _bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("path"), F.lit(parts))})
-        post = post.repartition(buckets * parts, "bucket", "part").drop("part").sortWithinPartitions("bucket", "term")
+        kind = steps.schema["step_id"].dataType.simpleString()
+        docs.withColumns({"n": F.size(tokens(F.col("content"))), "generation": F.lit(generation)}).write.mode("append").parquet(f"{folder}/docs")
+        own = spark.read.schema(f"path string, step_id {kind}, content string, n int, generation int").parquet(f"{folder}/docs").where(F.col("generation") == generation)
+        toks = own.select("path", "step_id", tokens(F.col("content")).alias("toks"))
+        toks = toks.withColumn("buckets", F.transform("toks", lambda t: _bucket(t, buckets)))
+        block = toks.mapInArrow(_packed(parts), "bucket int, part int, block binary").repartition(buckets * parts, "bucket", "part")
+        post = block.select("bucket", "block").mapInArrow(_unpacked, f"term string, path string, step_id {kind}, n int, tf int, positions array<int>, bucket int")
+        post = post.withColumn("generation", F.lit(generation)).sortWithinPartitions("bucket", "term")
         post.write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
-        sizes = toks.groupBy("path").agg(F.count("*").alias("docs"), F.sum(F.size("toks")).alias("tokens"))
+        sizes = own.groupBy("path").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
         told = todo.join(sizes, "path", "left").select("path", "mtime", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("docs", "tokens")))
         if not done:
             p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/buckets={buckets}")
             p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
         told.write.parquet(f"{folder}/records/generation={generation}")
-        scratch.drop(toks)
     scratch.drop(todo)
     return n, total - n
 

@@ -259,3 +259,17 @@ def test_postings_are_made_a_few_texts_at_a_time(monkeypatch):
     assert rows(index._postings([batch])) == sorted((p, t, len(ts), ts.count(t), [i for i, x in enumerate(ts) if x == t]) for p, ts in zip("vwxyz", toks) if ts for t in set(ts))
     monkeypatch.setattr(index, "_slices", lambda size: [(0, 2), (2, 5)])
     assert len(list(index._postings([batch]))) == 2
+
+
+def test_postings_are_shuffled_as_packed_blocks(spark):
+    toks = [[f"w{i * k % 97}" for k in range(60)] for i in range(50)] + [[]]
+    df = spark.createDataFrame([(str(i), 1, ts) for i, ts in enumerate(toks)], "path string, step_id int, toks array<string>").coalesce(1)
+    df = df.withColumn("buckets", F.transform("toks", lambda t: index._bucket(t, 3)))
+    packed = df.mapInArrow(index._packed(2), "bucket int, part int, block binary")
+    assert sorted(r.bucket for r in packed.collect()) == [0, 1, 2]  # a row for each bucket, not for each word of each text
+    got = packed.select("bucket", "block").mapInArrow(index._unpacked, "term string, path string, step_id int, n int, tf int, positions array<int>, bucket int")
+    assert got.where(F.col("bucket") != index._bucket(F.col("term"), 3)).isEmpty()
+    want = {(p, t): [k for k, x in enumerate(ts) if x == t] for p, ts in enumerate(toks) for t in set(ts)}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(int(r.path), r.term): r.positions for r in rows} == want
+    assert all(r.n == 60 and r.tf == len(r.positions) for r in rows)
